@@ -1 +1,8 @@
 """Molecular string similarity and training-data preparation on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package go to Python workers by value: executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
