@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmol.llm import chat, langid, media, mixing, packing, quality, sharding
+from quillmol.llm import chat, langid, media, mixing, ngram_join, packing, quality, sharding
 
 
 def _read(spark, sf_dir: str, table: str):
@@ -25,6 +25,10 @@ def op4_rendezvous(spark, sf_dir):
     return sharding.shard_documents(_read(spark, sf_dir, "documents"))
 
 
+def op5_token_combinations(spark, sf_dir):
+    return ngram_join.jaccard_classes(_read(spark, sf_dir, "documents"))
+
+
 def op6_avi_media(spark, sf_dir):
     return media.media_digest(_read(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_hyperdimensional(spark, sf_dir):
     return langid.identify(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_preference_pairs, op2_vector_best_fit, op3_block_mixture, op4_rendezvous, op6_avi_media, op9_rule_ledger, op10_hyperdimensional)}
+QUERIES = {f.__name__: f for f in (op1_preference_pairs, op2_vector_best_fit, op3_block_mixture, op4_rendezvous, op5_token_combinations, op6_avi_media, op9_rule_ledger, op10_hyperdimensional)}
 
 ORACLE_SQL = {
     "op1_preference_pairs": """
