@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmol.llm import chat, langid, media, mixing, ngram_join, packing, pii, quality, sharding
+from quillmol.llm import chat, html, langid, media, mixing, ngram_join, packing, pii, quality, sharding
 
 
 def _read(spark, sf_dir: str, table: str):
@@ -33,6 +33,10 @@ def op6_avi_media(spark, sf_dir):
     return media.media_digest(_read(spark, sf_dir, "documents"))
 
 
+def op7_boosted_nodes(spark, sf_dir):
+    return html.main_text(_read(spark, sf_dir, "pages"))
+
+
 def op8_candidate_boosting(spark, sf_dir):
     return pii.find_private(_read(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_hyperdimensional(spark, sf_dir):
     return langid.identify(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_preference_pairs, op2_vector_best_fit, op3_block_mixture, op4_rendezvous, op5_token_combinations, op6_avi_media, op8_candidate_boosting, op9_rule_ledger, op10_hyperdimensional)}
+QUERIES = {f.__name__: f for f in (op1_preference_pairs, op2_vector_best_fit, op3_block_mixture, op4_rendezvous, op5_token_combinations, op6_avi_media, op7_boosted_nodes, op8_candidate_boosting, op9_rule_ledger, op10_hyperdimensional)}
 
 ORACLE_SQL = {
     "op1_preference_pairs": """
