@@ -176,12 +176,14 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     linked with nothing and its component_id is null. An empty table gives an empty table; other columns aren't read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stash(set_rows(docs, whole=False))
+    windows = stash(set_rows(docs, whole=False))
+    rows = stash(windows.drop("tokens"))
     classes = rows.where("n > 0 and doc_id is not null").groupBy(*SAME).agg(F.min("doc_id").alias("doc"))
     several = classes.groupBy("doc").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc")  # a doc_id that repeats with other texts
     nodes = stash(classes.join(several.withColumn("_s", F.lit(True)), "doc", "left").withColumn("node", F.when(F.col("_s"), F.xxhash64("doc", *SAME)).otherwise(F.col("doc"))).drop("_s"))
 
-    open_nodes, used = _open_nodes(rows, nodes)
+    open_nodes, used = _open_nodes(windows, nodes)
+    discard(windows)
     held = nodes.join(open_nodes, "node", "left_semi").withColumnRenamed("doc", "doc_id")
     texts = docs.join(held.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = stash(set_rows(texts, whole=True).join(held, ["doc_id", *SAME]).dropDuplicates(["node"]).select("node", "n", "tokens"))
