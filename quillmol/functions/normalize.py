@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,19 +56,20 @@ def inchi_layers(s: Column, layers: str | list[str] = "all") -> Column:
     if unknown:
         raise ValueError(f"unknown InChI layers: {', '.join(unknown)}")
     parts = F.split(body, "/")
-    found = []
-    for n in names:
-        own = F.element_at(parts, 1) if n == "formula" else F.try_element_at(F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x, p=INCHI_LAYERS[n]: F.substring(x, 1, 1) == p), F.lit(-1))
-        found.append(F.when(own != "", own))
-    return F.concat_ws("/", *found)
+    rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+
+    def layer(name: str) -> Column:
+        if name == "formula":
+            return F.nullif(F.element_at(parts, 1), F.lit(""))
+        return F.try_element_at(F.filter(rest, lambda x: F.startswith(x, F.lit(INCHI_LAYERS[name]))), F.lit(-1))
+
+    return F.concat_ws("/", *map(layer, names))
 
 
 def _backend(module: str, convert):
     """A row function of an optional library; None where it is missing or fails."""
     import importlib.util
 
-    import pandas as pd
-
     present = importlib.util.find_spec(module) is not None
 
     @F.pandas_udf("string")
@@ -126,8 +128,6 @@ def shuffled(s: Column, seed: int | None = 42) -> Column:
     """The characters in the order of a seeded Mersenne Twister shuffle, the same for strings of one length."""
     import random
 
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(x: pd.Series) -> pd.Series:
         def one(v):
