@@ -53,4 +53,4 @@ def test_stream(spark, tmp_path):
     source = spark.readStream.schema("name string, s string").parquet(str(tmp_path / "in"))
     templates = spark.createDataFrame([("t", "CCO")], "name string, s string")
     score_stream(source, templates, "edit", lambda df, i: got.extend(df.collect()), str(tmp_path / "ck"), pre=False).awaitTermination()
-    assert {r["lib_name"]: r["score"] for r in got} == {"x": 1.0, "y": 0.25}
+    assert {r["lib_name"]: r["score"] for r in got} == {"x": 1.0, "y": 0.5}
