@@ -84,10 +84,3 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
     not (n_words < 20 or 100 * n_repeat_words > 30 * n_words or 100 * n_symbols > 20 * word_chars or (n_lines >= 4 and 100 * n_dup_lines > 50 * n_lines)
     or (n_words >= 20 and (word_chars < 2 * n_words or word_chars > 20 * n_words))) as kept from m""",
 }
-
-_cost = lambda s: f"-ln((('0x' || substr(md5(k || ':{s}'), 1, 13))::bigint + 0.5) / 4503599627370496.0)"
-_best = lambda n: "list_sort([" + ", ".join(f"{{'c': {_cost(s)}, 's': {s}}}" for s in range(n)) + "])[1].s"
-#: Slots follow the ranks in hash buckets that SQL doesn't have; their SQL is left out, and tests check that they are gapless.
-ORACLE_SQL_SHARDS = f"""
-with d as (select doc_id, coalesce(doc_id::varchar, '') as k, coalesce(strlen(text), 0) + 8 as size from documents)
-select doc_id, size::bigint as size, 'key' as law, {_best(24)} as shard, {_best(25)} as grown_shard from d"""
