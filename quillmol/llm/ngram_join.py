@@ -38,6 +38,8 @@ WINDOW = 20
 COMBINED = 400
 #: Rows of a star that one task's stream holds against a centre before the centre's set is sent again.
 STAR = 512
+#: A token in more than 4 / HOT of all rows, so HOT / 4 tokens at most, is hot: its count is broadcast and its rows are not gathered.
+HOT = 4096
 
 ROW = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
 LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -130,10 +132,10 @@ def _combinations(rows: DataFrame) -> DataFrame:
     return alone.unionByName(combined)
 
 
-def _across(rows: DataFrame) -> DataFrame:
+def _across(rows: DataFrame, hot: list[int]) -> DataFrame:
     """Candidate pairs (a, b) of different components."""
     key_spans = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi").select("token", (F.col("k") > FREQUENT).alias("frequent"))
-    keys = _combinations(rows.join(key_spans, "token"))
+    keys = _combinations(_with_token(rows, key_spans, hot))
     # a row stays if its key lies in its prefix even for the least partner that the key has
     least = keys.groupBy("key").agg(F.min("n").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").drop("lo", "hi")
     keys = stash(keys.join(least, "key").where(f"9 * (n - last + {K - 1}) >= 4 * (n + greatest(least, (4 * n + 4) div 5))").drop("least"))
@@ -143,9 +145,36 @@ def _across(rows: DataFrame) -> DataFrame:
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def _hot_tokens(rows: DataFrame) -> list[tuple[int, int]]:
+    """(token, df) of the hot tokens. Rows are counted in HOT buckets, and tokens in the buckets that are large enough to hold a hot one;
+    both counts have partial sums."""
+    bucket = F.pmod("token", F.lit(HOT))
+    sizes = [tuple(r) for r in rows.groupBy(bucket.alias("b")).count().collect()]  # HOT rows at most
+    limit = 4 * sum(n for _, n in sizes) // HOT
+    large = [b for b, n in sizes if n > max(1, limit)]
+    if not large:
+        return []
+    found = rows.where(bucket.isin(large)).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > max(1, limit))
+    return [tuple(r) for r in found.collect()]
+
+
+def _with_token(rows: DataFrame, table: DataFrame, hot: list[int]) -> DataFrame:
+    """rows joined with a table of one row per token. What the table has on the hot tokens is broadcast."""
+    if not hot:
+        return rows.join(table, "token")
+    is_hot = F.col("token").isin(hot)
+    return rows.where(~is_hot).join(table, "token").unionByName(rows.where(is_hot).join(F.broadcast(table.where(is_hot)), "token"))
+
+
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (node, n, token) whose token another node has, with its df."""
-    return rows.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
+    """Rows (node, n, token) whose token another node has, with its df. Rows of hot tokens are dealt by node, with the df known."""
+    hot = _hot_tokens(rows)
+    if not hot:
+        return rows.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
+    known = F.broadcast(rows.sparkSession.createDataFrame(hot, "token long, _df long"))  # HOT / 4 rows at most
+    dealt = rows.join(known, "token", "left").withColumn("_deal", F.when(F.col("_df").isNotNull(), F.xxhash64("node")))
+    count = F.count(F.lit(1)).over(Window.partitionBy("token", "_deal"))
+    return dealt.withColumn("df", F.coalesce("_df", count)).where("df > 1").drop("_df", "_deal")
 
 
 def _open_nodes(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, list]:
@@ -191,15 +220,17 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
     prefixes = stash(_prefixes(sets))
     centre = F.max(F.struct((-F.col("own") / F.col("n")).alias("w"), (-F.col("node")).alias("d"), "n", "own", "pos", "last"))
-    best = prefixes.groupBy("token").agg(centre.alias("c")).select("token", (-F.col("c.d")).alias("node"), "c.n", "c.own", "c.pos", "c.last")
-    stars = prefixes.alias("x").join(best.alias("y"), "token").where(F.expr("x.node <> y.node") & _can_link("x", "y"))
+    hot = [t for t, _ in _hot_tokens(prefixes)]
+    best = prefixes.groupBy("token").agg(centre.alias("c")).select("token", F.struct((-F.col("c.d")).alias("node"), "c.n", "c.own", "c.pos", "c.last").alias("y"))
+    row = F.struct("node", "n", "own", "pos", "last").alias("x")
+    stars = _with_token(prefixes.select("token", row), best, hot).where(F.expr("x.node <> y.node") & _can_link("x", "y"))
     candidates = stash(stars.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct())
     links = stash(_verified(candidates, sets))
     group = components(links)
 
     in_group = prefixes.join(group, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     tried = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stash(_across(in_group).join(tried, ["a", "b"], "left_anti"))
+    more = stash(_across(in_group, hot).join(tried, ["a", "b"], "left_anti"))
     known = links.unionByName(_verified(more, sets)).unionByName(_same_ids(rows, nodes))
     final = components(known)
     discard(prefixes, candidates, links, group, more, sets)
