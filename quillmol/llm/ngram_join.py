@@ -166,9 +166,8 @@ def _with_token(rows: DataFrame, table: DataFrame, hot: list[int]) -> DataFrame:
     return rows.where(~is_hot).join(table, "token").unionByName(rows.where(is_hot).join(F.broadcast(table.where(is_hot)), "token"))
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (node, n, token) whose token another node has, with its df. Rows of hot tokens are dealt by node, with the df known."""
-    hot = _hot_tokens(rows)
+def _shared(rows: DataFrame, hot: list[tuple[int, int]]) -> DataFrame:
+    """Rows (node, n, token) whose token another node has, with its df. Rows of hot tokens are dealt by node and take the df given."""
     if not hot:
         return rows.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
     known = F.broadcast(rows.sparkSession.createDataFrame(hot, "token long, _df long"))  # HOT / 4 rows at most
@@ -178,18 +177,21 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def _open_nodes(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, list]:
-    """Step 1: the nodes that may link, and what may be discarded after their use."""
+    """Step 1: the nodes that may link, and what may be discarded after their use. Tokens that are hot in all rows, copies
+    too, count as shared, which leaves no fewer nodes."""
+    hot = _hot_tokens(rows.where("n > 1").select(F.explode("tokens").alias("token")))
     windows = rows.where("n > 1").join(nodes.where("n > 1").withColumnRenamed("doc", "doc_id"), ["doc_id", *SAME]).dropDuplicates(["node"])
-    shared = stash(_shared(windows.select("node", "n", F.explode("tokens").alias("token"))).drop("df"))
+    shared = stash(_shared(windows.select("node", "n", F.explode("tokens").alias("token")), hot).drop("df"))
     least_k = F.expr(f"greatest(2, ((4 * n + 4) div 5) div {WINDOW})")
     enough = lambda df: df.groupBy("node", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least_k).select("node")
-    again = _shared(shared.join(enough(shared), "node", "left_semi").drop("df"))
+    again = _shared(shared.join(enough(shared), "node", "left_semi"), hot).drop("df")
     return stash(enough(again)), [shared]
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
     """Steps 2 and 3: rows (node, n, own, token, pos, last) of the K-prefixes; own: how many tokens no other open node has."""
-    shared = _shared(sets.select("node", "n", F.explode("tokens").alias("token")))
+    rows = sets.select("node", "n", F.explode("tokens").alias("token"))
+    shared = _shared(rows, _hot_tokens(rows))
     lists = shared.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).withColumn("own", F.col("n") - F.size("t"))
     alive = lists.where("n - own >= (4 * n + 4) div 5")
     length = F.expr(f"cast(least(n, n - (4 * n + 4) div 5 + {K}) - own as int)")  # tokens of its own come first
@@ -228,12 +230,13 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     links = stash(_verified(candidates, sets))
     group = components(links)
 
-    in_group = prefixes.join(group, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    in_group = stash(prefixes.join(group, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"))
+    discard(prefixes)
     tried = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = stash(_across(in_group, hot).join(tried, ["a", "b"], "left_anti"))
     known = links.unionByName(_verified(more, sets)).unionByName(_same_ids(rows, nodes))
     final = components(known)
-    discard(prefixes, candidates, links, group, more, sets)
+    discard(in_group, candidates, links, group, more, sets)
 
     labelled = nodes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("doc").alias("component_id"))
