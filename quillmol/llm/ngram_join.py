@@ -37,7 +37,7 @@ WINDOW = 20
 #: that can link with both, by both.
 COMBINED = 400
 #: Rows of a star that one task's stream holds against a centre before the centre's set is sent again.
-STAR = 512
+STAR = 64
 #: A token in more than 4 / HOT of all rows, so HOT / 4 tokens at most, is hot: its count is broadcast and its rows are not gathered.
 HOT = 4096
 
