@@ -15,15 +15,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are in none of the learned languages (und, or a cosine under LEAST_SCORE in texts of 20 words or
-    more; shorter ones have too few letters to tell), and sets lang where it is null. One score per row: rows of
-    one doc_id with other texts are judged by the best of them."""
+    more; shorter ones have too few letters to tell), and sets lang where it is null. Each row is judged by its own text."""
     model = langid.fit(docs.where(~langid.held_out()))
-    scored = langid.predict(docs, model).groupBy("doc_id").agg(F.max(F.struct(F.col("lang_pred") != langid.UNKNOWN, "score", "lang_pred")).alias("s"))
-    scored = scored.select(F.col("doc_id").alias("_id"), F.col("s.lang_pred").alias("_pred"), F.col("s.score").alias("_score"))
-    joined = docs.select(*COLUMNS).join(scored, F.col("doc_id").eqNullSafe(F.col("_id")))
+    scored = langid.label(docs.select(*COLUMNS), model)
     short = F.regexp_count("text", F.lit(mixing.WORDS)) < 20
-    kept = joined.where((F.col("_pred") != langid.UNKNOWN) & ((F.col("_score") >= LEAST_SCORE) | short))
-    return kept.withColumn("lang", F.coalesce("lang", "_pred")).select(*COLUMNS)
+    kept = scored.where((F.col("lang_pred") != langid.UNKNOWN) & ((F.col("score") >= LEAST_SCORE) | short))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,9 +124,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
     return langs, (out / np.maximum(norms, 1e-9)).astype(np.float32)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """doc_id, lang_pred and score, the cosine with the nearest prototype (0 at least; ties: first by name). A text that is null or
-    has no letter, or any text if nothing was learned, is "und" with score 0."""
+def _scored(docs: DataFrame, model: tuple[list[str], np.ndarray], text: int, schema: T.StructType, keep: list[int]) -> DataFrame:
+    """Columns keep of docs, by place, and the prediction for column text."""
     langs, prototypes = model
 
     def run(batches):
@@ -135,18 +134,32 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
         profiles = Profiles()
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
-                ids = batch.column(0).slice(i, 128)
-                vectors = next(profiles.bundle([t or "" for t in batch.column(1).slice(i, 128).to_pylist()]))
+                rows = batch.slice(i, 128)
+                vectors = next(profiles.bundle([t or "" for t in rows.column(text).to_pylist()]))
                 norms = np.linalg.norm(vectors, axis=1)
-                pred, score = [UNKNOWN] * len(ids), [0.0] * len(ids)
+                pred, score = [UNKNOWN] * rows.num_rows, [0.0] * rows.num_rows
                 if langs:
                     cos = vectors @ prototypes.T / np.maximum(norms, 1e-9)[:, None]
                     for j in np.flatnonzero(norms > 0):
                         best = int(np.argmax(cos[j]))
                         pred[j], score[j] = langs[best], float(min(1.0, max(0.0, cos[j, best])))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=SCORED.names)
+                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    """doc_id, lang_pred and score, the cosine with the nearest prototype (0 at least; ties: first by name). A text that is null or
+    has no letter, or any text if nothing was learned, is "und" with score 0."""
+    return _scored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), model, 1, SCORED, [0])
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCORED)
+def label(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    """All columns of docs, whose text is a string, with lang_pred and score as by predict(): row by row, without a join. Columns
+    of docs with these two names are replaced."""
+    docs = docs.drop("lang_pred", "score")
+    schema = T.StructType([*docs.schema.fields, *SCORED.fields[1:]])
+    return _scored(docs, model, docs.columns.index("text"), schema, list(range(len(docs.columns))))
 
 
 def held_out():

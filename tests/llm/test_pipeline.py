@@ -1,7 +1,7 @@
 import re
 
 import corpus_pipeline
-from quillmol.llm import pii
+from quillmol.llm import langid, pii
 from quillmol.llm.common import stash
 
 
@@ -50,3 +50,20 @@ def test_stages(spark):
 
     e = stage["packing"](spark, d, sf).collect()
     assert sum(r["piece"] == 0 for r in e) == d.count()
+
+
+def test_language_by_row(spark):
+    """Labels are those of predict(), on odd rows too; rows of one doc_id are judged each, and an empty table stays empty."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out()))
+    text = docs.where("text is not null").first()["text"]
+    rows = [(1, text, None, "a", 1, 7), (1, "12 34", "x", "a", 1, 7), (2, None, None, None, None, 7), (None, "", None, "a", 0, 7), (3, text * 50, None, "a", 1, None)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int")
+    labelled = langid.label(odd, model)
+    assert labelled.columns == ["doc_id", "text", "lang", "source", "n_chars", "lang_pred", "score"]
+    assert sorted(map(str, labelled.select("doc_id", "lang_pred", "score").collect())) == sorted(map(str, langid.predict(odd, model).collect()))
+    stage = dict(corpus_pipeline.STAGES)["language"]
+    both = odd.drop("score").unionByName(docs)
+    kept = stage(spark, both, "")
+    assert kept.where("text = '12 34'").count() == 0 and kept.where("text is null").count() == 0 and kept.where("lang is null").count() == 0
+    assert stage(spark, docs.limit(0), "").collect() == []
