@@ -128,10 +128,15 @@ def slots(spark, sizes: list[int], wanted: list[float], block: int, shards: int,
     return spark.range(0, total, 1, max(1, -(-total // per_task))).mapInArrow(fill, SLOT)
 
 
+def sized(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source, size, a hash of the text, and the columns more."""
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie"), *more)
+
+
 def placed(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, and start: the words before it in its source."""
-    sized = stash(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")))
-    return gapless(sized, ["source"], ["doc_id", "size"], "start", size=F.col("size"), total="source_size")
+    """Adds to rows of sized() the start, the words before each in its source, and the source's size. The one order of documents, of
+    mix() and of mixed_blocks(): by doc_id and size, those alike in both by the hash of their text."""
+    return gapless(docs, ["source"], ["doc_id", "size", "_tie"], "start", size=F.col("size"), total="source_size").drop("_tie")
 
 
 def plan(at: DataFrame, weights, times: float, cap: float) -> tuple[list, list[int], list[float]]:
@@ -152,7 +157,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, weights=(3.0,
     source of its own, the last. Repeated rows are documents of their own. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    at = stash(placed(docs))
+    at = stash(placed(stash(sized(docs))))
     sources, sizes, wanted = plan(at, weights, times, cap)
     config = [(i, s, float(t)) for i, (s, t) in enumerate(zip(sources, wanted, strict=True))]
     names = spark.createDataFrame(config, "src int, _source string, target double")
@@ -174,10 +179,10 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, weights=(3.0,
 
 
 def mixed_blocks(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, weights=(3.0, 1.0, 2.0), times: float = 1.5, cap: float = 2.0, seed: int = SEED) -> DataFrame:
-    """The mix itself: shard, slot, source number and the block's words, joined by a space."""
+    """The mix itself: shard, slot, source number and the block's words, joined by a space. Its words of each document are those that
+    mix() with the same arguments says are taken."""
     spark = docs.sparkSession
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), "text")
-    at = stash(gapless(sized, ["source"], ["doc_id", "text"], "start", size=F.col("size"), total="source_size"))
+    at = stash(placed(sized(docs, "text")))
     sources, sizes, wanted = plan(at, weights, times, cap)
     if not sum(sizes):
         return spark.createDataFrame([], "shard int, slot long, src int, text string")

@@ -123,6 +123,22 @@ def test_mix(spark):
     assert abs(words - sum(r["taken"] for r in got)) <= 4 * mixing.BLOCK  # the tables differ in the order of documents, so in which last block is cut
 
 
+def test_taken_is_what_the_blocks_hold(spark):
+    """Each document has a word of its own, so the blocks tell what they took of it; some rows share doc_id and size."""
+    rng = random.Random(5)
+    docs, shown = [], {}
+    for i in range(300):
+        n, source, doc_id = rng.choice([0, 1, 5, 80, 700]), rng.choice(["a", "b", "c", None]), rng.choice([i, i, i, 7, None])
+        docs.append((doc_id, " ".join([f"w{i}"] * n), source))
+        shown[f"w{i}"] = (doc_id, source, n)
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    for options in ({}, {"block": 16, "shards": 5, "times": 0.7}):
+        counts = mixing.mixed_blocks(table, **options).select(F.explode(F.split("text", " ")).alias("w")).groupBy("w").count().collect()
+        got = sorted(str((*shown[r["w"]], r["count"])) for r in counts)
+        taken = mixing.mix(table, **options).where("taken > 0").collect()
+        assert got == sorted(str((r["doc_id"], r["source"], r["size"], r["taken"])) for r in taken)
+
+
 # --- sharding ---
 
 
