@@ -19,8 +19,12 @@ from quillmol.llm.boosting import Boosted, fit
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template svg iframe object select textarea button head title math canvas audio video".split())
+HIDDEN = frozenset("script style noscript template svg iframe object select textarea button head title annotation annotation-xml canvas audio video".split())
 RAW = frozenset("script style textarea title".split())
+#: Tags that may stand in a head, whose end tag may be left out; others end it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
+#: Only these and tags within them may close themselves.
+FOREIGN = frozenset("svg math".split())
 BLOCKS = frozenset("html body div section article main header footer nav aside p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption tr td th thead tbody tfoot blockquote pre figure figcaption form fieldset address details summary hr menu dialog center".split())
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption"}
 #: What an opening tag ends, up to which tags.
@@ -76,6 +80,8 @@ class Page:
                     flush()
 
         def say(raw):
+            if stack[-1][0] == "head" and raw.strip():
+                pop(len(stack) - 1)
             if raw and not hidden:
                 if not text:
                     owner[0] = stack[-1][1]
@@ -96,6 +102,13 @@ class Page:
                 continue
             name = m[2].lower()
             self.marks[stack[-1][1]] += 1
+            if name == "body" and hidden:
+                for i in range(1, len(stack)):
+                    if stack[i][0] == "head":
+                        pop(i)
+                        break
+            elif stack[-1][0] == "head" and not m[1] and name not in IN_HEAD:
+                pop(len(stack) - 1)
             if m[1]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == name:
@@ -129,7 +142,7 @@ class Page:
                         low = i
                 if low:
                     pop(low)
-            if m[3].endswith("/") and name not in BLOCKS | HIDDEN:
+            if m[3].endswith("/") and (name not in BLOCKS | HIDDEN or name in FOREIGN or name not in BLOCKS and any(t in FOREIGN for t, _ in stack)):
                 continue
             if name in ("html", "body"):
                 continue

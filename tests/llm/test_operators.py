@@ -230,6 +230,18 @@ def test_pages(spark, nodes):
     assert all(r["n_chars"] == len(r["text"]) for r in got) and {r["text"] for r in got if r["page_id"] in (2, 3)} == {""}
 
 
+def test_open_heads_and_foreign_tags():
+    """Heads without an end tag end at the body, at what can't be in a head, or at text; svg and math may close themselves."""
+    said = lambda source: [b for _, b in html.Page(source).blocks]
+    head = "<html><head><meta charset=utf-8><title>T</title><script>x</script><noscript><img></noscript><link>"
+    for rest in ("<body><p>One</p></body></html>", "<p>One</p>", "One", "</head><body><p>One</p>", "</head><p>One</p>", "<header>One</header>", "<noscript><body>One"):
+        assert said(head + rest) == ["One"], rest
+    assert said("<title>T</title><p>One</p>") == ["One"] and said(head) == []
+    assert said("<p>One <svg/>two <math/>three <svg width='1'/> four</p>") == ["One two three four"]
+    assert said("<p>One <svg><title/><style/><path/></svg>two <svg><text>x</text></svg>three</p>") == ["One two three"]
+    assert said("<p>As <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x = 2</annotation></math> says</p>") == ["As x=2 says"]
+
+
 # --- personal data ---
 
 
