@@ -1,3 +1,5 @@
+import base64
+import random
 import re
 
 import corpus_pipeline
@@ -67,3 +69,13 @@ def test_language_by_row(spark):
     kept = stage(spark, both, "")
     assert kept.where("text = '12 34'").count() == 0 and kept.where("text is null").count() == 0 and kept.where("lang is null").count() == 0
     assert stage(spark, docs.limit(0), "").collect() == []
+
+
+def test_language_of_unspaced_texts(spark):
+    """A long text without white space is held to the threshold like any other; a few letters are not."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    blob = base64.b64encode(random.Random(3).randbytes(15000)).decode()
+    texts = {"blob": blob, "han": "".join(chr(0x4E00 + i * 37 % 3000) for i in range(400)), "few": "Re.", "unspaced": re.sub(r"\s", "\u00a0", docs.where("length(text) > 500 and lang is not null").orderBy("doc_id").first()["text"])}
+    odd = spark.createDataFrame([(10**6 + i, t, None, k, len(t)) for i, (k, t) in enumerate(texts.items())], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = dict(corpus_pipeline.STAGES)["language"](spark, docs.unionByName(odd), "").where(f"doc_id >= {10**6}").collect()
+    assert {r["source"] for r in rows} == {"few", "unspaced"}
