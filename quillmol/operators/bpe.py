@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmol.functions.tokens import atoms
 
-#: Merges sent with the function; a vocabulary is a few thousand pairs.
+#: Merges sent with the function at most, or an error; a vocabulary is a few thousand pairs.
 MAX_MERGES = 100_000
 
 
@@ -17,7 +17,10 @@ def read_merges(spark: SparkSession, path: str, first: int | None = None) -> lis
     table = spark.read.json(path, multiLine=True)
     if "merges" not in table.columns:
         return []
-    rows = table.select(F.posexplode("merges").alias("rank", "m")).where(F.col("rank") < (first if first is not None else MAX_MERGES)).orderBy("rank").limit(MAX_MERGES).collect()
+    ranked = table.select(F.posexplode("merges").alias("rank", "m"))
+    rows = (ranked if first is None else ranked.where(F.col("rank") < first)).orderBy("rank").limit(MAX_MERGES + 1).collect()
+    if len(rows) > MAX_MERGES:
+        raise ValueError(f"more than {MAX_MERGES} merges in {path}")
     return [(r["m"][0], r["m"][1]) for r in rows]
 
 

@@ -54,3 +54,20 @@ def test_stream(spark, tmp_path):
     templates = spark.createDataFrame([("t", "CCO")], "name string, s string")
     score_stream(source, templates, "edit", lambda df, i: got.extend(df.collect()), str(tmp_path / "ck"), pre=False).awaitTermination()
     assert {r["lib_name"]: r["score"] for r in got} == {"x": 1.0, "y": 0.5}
+
+
+def test_merges_over_the_bound_are_an_error(spark, tmp_path, monkeypatch):
+    import json
+
+    import pytest
+
+    from quillmol.operators import bpe
+
+    monkeypatch.setattr(bpe, "MAX_MERGES", 3)
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps({"merges": [["C", "C"], ["C", "O"], ["N", "C"], ["O", "O"]]}))
+    with pytest.raises(ValueError, match="more than 3 merges"):
+        bpe.read_merges(spark, str(path))
+    assert bpe.read_merges(spark, str(path), 2) == [("C", "C"), ("C", "O")]
+    path.write_text(json.dumps({"merges": [["C", "C"], ["C", "O"], ["N", "C"]]}))
+    assert len(bpe.read_merges(spark, str(path))) == 3
