@@ -7,11 +7,14 @@ Texts with equal shingle sets are one class, which has one node. Then, of the no
    the windows share the lesser k at least. A node whose window has fewer tokens that any other window has links with nothing.
 2. Frequencies. Over the whole sets of the nodes left, the tokens are counted and each set is ordered anew, rare
    tokens first. A set with over n - ceil(0.8 n) tokens of its own links with nothing.
-3. Prefixes. Two linked sets share K tokens in their K-prefixes, n - ceil(0.8 n) + K tokens in the new order: a rare token,
-   indexed alone, or K frequent ones, indexed as a combination.
+3. Prefixes. Frequent tokens fall into s subclasses by their hashes, s growing with the set's size (bands of sizes, so that partners
+   agree on it). Two linked sets share s (K - 1) + 1 tokens in their prefixes of n - ceil(0.8 n) + s (K - 1) + 1 tokens in the new order: a
+   rare one, indexed alone, or K frequent ones of one subclass, indexed as a combination. A subclass holds a few tokens of a
+   prefix, so a set has no more keys than it has tokens, about, whatever its size.
 4. Stars. A large group of near copies would give all its pairs. So each token's rows are first held against one of them, the one
    with the least share of tokens of its own: as many candidates as rows. Verified links make components; classes of tokens are counted
-   in what components are left, combinations made, and only pairs across components are candidates then.
+   in what components are left, combinations made, and only pairs across components are candidates then. A key of many rows is
+   dealt in blocks.
 
 Every candidate is verified on whole sets. No link between components is lost, and pairs within one change none.
 """
@@ -27,15 +30,23 @@ from quillmol.llm import textops as X
 from quillmol.llm.common import discard, stash
 from quillmol.llm.components import components
 
+#: Frequent tokens are indexed in combinations of K.
 K = 2
 SHINGLE = 5
-#: A token in the prefixes of more rows than this is frequent and is indexed in combinations.
+#: The border of the two classes of tokens: a token in the prefixes of more rows than this, of several components, is frequent.
 FREQUENT = 24
 #: Windows hold a further n / WINDOW tokens.
 WINDOW = 20
-#: Sets up to this size are indexed by combinations of their frequent tokens; larger ones by all tokens alone; sets
-#: that can link with both, by both.
-COMBINED = 400
+#: Bands of set sizes: partners of sizes within 4 : 5 are in one band or in neighbouring ones.
+BAND = 1.3
+#: Sizes for each subclass of frequent tokens: a prefix has n / 5 tokens and one more for each subclass.
+SUBCLASS = 10
+#: Subclasses of the sets of each band; the last band begins beyond 10 ** 12 tokens.
+SUBCLASSES = [max(1, int(BAND**b / SUBCLASS)) for b in range(107)]
+#: Longs of a set's parity bits.
+LONGS = 4
+#: Rows of a key that meet in one task; a key of more is dealt in blocks.
+BLOCK = 2048
 #: Rows of a star that one task's stream holds against a centre before the centre's set is sent again.
 STAR = 64
 #: A token in more than 4 / HOT of all rows, so HOT / 4 tokens at most, is hot: its count is broadcast and its rows are not gathered.
@@ -111,37 +122,74 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, LINK)
 
 
-def _can_link(x: str, y: str):
+def _can_link(x: str, y: str, extra: str):
     """Sizes and places of a shared key allow a link: the tokens before it that others have, and those at and after it, must
-    reach the overlap; and the key lies in the K-prefixes that this pair's overlap takes."""
+    reach the overlap; and the key lies in the prefixes, longer by extra, that this pair's overlap takes."""
     return F.expr(
         f"5 * least({x}.n, {y}.n) >= 4 * greatest({x}.n, {y}.n) and "
         f"9 * (least({x}.pos - {x}.own, {y}.pos - {y}.own) + least({x}.n - {x}.pos, {y}.n - {y}.pos)) >= 4 * ({x}.n + {y}.n) and "
-        f"9 * (least({x}.n - {x}.last, {y}.n - {y}.last) + {K - 1}) >= 4 * ({x}.n + {y}.n)"
+        f"9 * (least({x}.n - {x}.last, {y}.n - {y}.last) + {extra}) >= 4 * ({x}.n + {y}.n)"
     )
 
 
-def _combinations(rows: DataFrame) -> DataFrame:
-    """Index keys (key, node, n, own, pos, last, comp) of rows whose tokens have their class: rare ones alone, and of frequent ones every
-    combination of K for sets up to COMBINED, or each alone for larger ones; sets that can meet both kinds have both."""
-    largest_partner = 5 * COMBINED // 4
-    alone = rows.where(f"not frequent or n > {COMBINED}").select(F.xxhash64(F.lit(1), "token").alias("key"), "node", "n", "own", "pos", "last", "comp")
-    mixed = rows.where(f"frequent and n <= {largest_partner}").groupBy("node", "n", "own", "comp").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("t"))  # no more than a prefix of such a set
-    pairs = F.expr("flatten(transform(sequence(1, size(t) - 1), i -> transform(slice(t, i + 1, size(t) - i), y -> struct(xxhash64(2, t[i - 1].token, y.token) as key, t[i - 1].pos as pos, y.pos as last))))")
-    combined = mixed.where("size(t) >= 2").select("node", "n", "own", "comp", F.explode(pairs).alias("c")).select("c.key", "node", "n", "own", "c.pos", "c.last", "comp")
-    return alone.unionByName(combined)
+def _parities():
+    """Whether an even or odd number of a set's shared tokens (the array t) falls on each of 64 * LONGS bits."""
+    zero = F.struct(*[F.lit(0).cast("long").alias(f"b{i}") for i in range(LONGS)])
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))
+    at = lambda x: F.pmod(F.shiftright(x, 6), F.lit(LONGS))
+    return F.aggregate("t", zero, lambda a, x: F.struct(*[F.when(at(x["token"]) == i, a[f"b{i}"].bitwiseXOR(bit(x["token"]))).otherwise(a[f"b{i}"]).alias(f"b{i}") for i in range(LONGS)]))
 
 
-def _across(rows: DataFrame, hot: list[int]) -> DataFrame:
-    """Candidate pairs (a, b) of different components."""
+def _near_enough(x: str, y: str):
+    """Tokens of their own and bits of another parity are no more than the tokens that only one of two linked sets has."""
+    apart = " + ".join(f"bit_count({x}.bits.b{i} ^ {y}.bits.b{i})" for i in range(LONGS))
+    return F.expr(f"{x}.own + {y}.own + {apart} <= {x}.n + {y}.n - 2 * ((4 * ({x}.n + {y}.n) + 8) div 9)")
+
+
+def _band(n):
+    return F.floor(F.log(n.cast("double")) / F.lit(float(np.log(BAND)))).cast("int")
+
+
+def _subclasses(band):
+    return F.element_at(F.array(*map(F.lit, SUBCLASSES)), band + 1)
+
+
+def combinations_of(t, k: int):
+    """All combinations of k of the array t of (pos, token), in order, as (key, pos of the first, last)."""
+    out = F.transform(t, lambda x, i: F.struct(x["token"].alias("key"), x["pos"].alias("pos"), x["pos"].alias("last"), (i + 1).alias("next")))
+    for _ in range(k - 1):
+        out = F.flatten(F.transform(out, lambda c: F.transform(F.slice(t, c["next"] + 1, F.size(t) - c["next"]), lambda x, i: F.struct(F.xxhash64(c["key"], x["token"]).alias("key"), c["pos"].alias("pos"), x["pos"].alias("last"), (c["next"] + i + 1).alias("next")))))
+    return out
+
+
+def _keys(rows: DataFrame) -> DataFrame:
+    """Index keys (key, node, n, own, pos, last, s, own_band, comp) of rows whose tokens have their class: rare ones alone, and of frequent ones the
+    combinations of K within a subclass. A set is indexed with the subclasses of its own band and with those of the band below it, for
+    partners there; of two such partners the lesser is in its own band."""
+    shared = ["node", "n", "own", "comp"]
+    rare = rows.where("not frequent").select(F.xxhash64(F.lit(1), "token").alias("key"), *shared, "pos", "last", _subclasses(_band(F.col("n"))).alias("s"), F.lit(True).alias("own_band"))
+    bands = F.array(F.struct(_band(F.col("n")).alias("band"), F.lit(True).alias("own_band")), F.struct((_band(F.col("n")) - 1).alias("band"), F.lit(False).alias("own_band")))
+    dealt = rows.where("frequent").select(*shared, "token", "pos", F.explode(bands).alias("b")).select(*shared, "token", "pos", "b.*").where("band >= 0").withColumn("s", _subclasses(F.col("band")))
+    dealt = dealt.where(f"pos <= n - (4 * n + 4) div 5 + s * {K - 1}").withColumn("sub", F.pmod(F.xxhash64("token", "band"), F.col("s")))
+    lists = dealt.groupBy(*shared, "own_band", "band", "s", "sub").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("t"))  # a few tokens of a prefix
+    made = lists.where(F.size("t") >= K).select(*shared, "own_band", "band", "s", F.explode(combinations_of(F.col("t"), K)).alias("c"))
+    combined = made.select(F.xxhash64(F.lit(K), "band", "c.key").alias("key"), *shared, "c.pos", "c.last", "s", "own_band")
+    return rare.unionByName(combined)
+
+
+def _across(rows: DataFrame, bits: DataFrame, hot: list[int]) -> DataFrame:
+    """Candidate pairs (a, b) of different components. bits: node and its parity bits."""
     key_spans = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi").select("token", (F.col("k") > FREQUENT).alias("frequent"))
-    keys = _combinations(_with_token(rows, key_spans, hot))
+    keys = _keys(_with_token(rows, key_spans, hot))
     # a row stays if its key lies in its prefix even for the least partner that the key has
     least = keys.groupBy("key").agg(F.min("n").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").drop("lo", "hi")
-    keys = stash(keys.join(least, "key").where(f"9 * (n - last + {K - 1}) >= 4 * (n + greatest(least, (4 * n + 4) div 5))").drop("least"))
-    split = keys.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    keys = keys.join(split, "key", "left_semi")
-    pairs = keys.alias("x").join(keys.alias("y"), F.expr("x.key = y.key and x.comp < y.comp") & _can_link("x", "y"))
+    keys = stash(keys.join(least, "key").where(f"9 * (n - last + s * {K - 1}) >= 4 * (n + greatest(least, (4 * n + 4) div 5))").drop("least"))
+    split = keys.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi").select("key", F.ceil(F.col("k") / BLOCK).alias("blocks"))
+    keys = keys.join(split, "key").join(bits, "node")
+    ones = keys.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    all_blocks = keys.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = F.expr("x.key = y.key and x.block = y.block and x.comp < y.comp and (x.own_band or y.own_band)") & _can_link("x", "y", f"least(x.s, y.s) * {K - 1}") & _near_enough("x", "y")
+    pairs = ones.alias("x").join(all_blocks.alias("y"), met)
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
@@ -189,13 +237,15 @@ def _open_nodes(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, list]:
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """Steps 2 and 3: rows (node, n, own, token, pos, last) of the K-prefixes; own: how many tokens no other open node has."""
+    """Steps 2 and 3: rows (node, n, own, token, pos, last) of the prefixes; own: how many tokens no other open node has; bits:
+    on a node's first row, the parity bits of the tokens that others have."""
     rows = sets.select("node", "n", F.explode("tokens").alias("token"))
     shared = _shared(rows, _hot_tokens(rows))
     lists = shared.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).withColumn("own", F.col("n") - F.size("t"))
-    alive = lists.where("n - own >= (4 * n + 4) div 5")
-    length = F.expr(f"cast(least(n, n - (4 * n + 4) div 5 + {K}) - own as int)")  # tokens of its own come first
-    return alive.withColumn("t", F.slice("t", F.lit(1), F.greatest(length, F.lit(0)))).select("node", "n", "own", F.posexplode("t").alias("i", "x")).select("node", "n", "own", F.col("x.token").alias("token"), (F.col("own") + F.col("i")).alias("pos")).withColumn("last", F.col("pos"))
+    alive = lists.where("n - own >= (4 * n + 4) div 5").withColumn("bits", _parities())
+    length = (F.least(F.col("n"), F.expr("n - (4 * n + 4) div 5 + 1") + _subclasses(_band(F.col("n"))) * (K - 1)) - F.col("own")).cast("int")  # tokens of its own come first
+    prefix = alive.withColumn("t", F.slice("t", F.lit(1), F.greatest(length, F.lit(0)))).select("node", "n", "own", "bits", F.posexplode("t").alias("i", "x"))
+    return prefix.select("node", "n", "own", F.col("x.token").alias("token"), (F.col("own") + F.col("i")).alias("pos"), (F.col("own") + F.col("i")).alias("last"), F.when(F.col("i") == 0, F.col("bits")).alias("bits"))
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -223,20 +273,20 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     prefixes = stash(_prefixes(sets))
     centre = F.max(F.struct((-F.col("own") / F.col("n")).alias("w"), (-F.col("node")).alias("d"), "n", "own", "pos", "last"))
     hot = [t for t, _ in _hot_tokens(prefixes)]
-    best = prefixes.groupBy("token").agg(centre.alias("c")).select("token", F.struct((-F.col("c.d")).alias("node"), "c.n", "c.own", "c.pos", "c.last").alias("y"))
+    short = prefixes.where("pos <= n - (4 * n + 4) div 5")  # two linked sets share a token here
+    best = short.groupBy("token").agg(centre.alias("c")).select("token", F.struct((-F.col("c.d")).alias("node"), "c.n", "c.own", "c.pos", "c.last").alias("y"))
     row = F.struct("node", "n", "own", "pos", "last").alias("x")
-    stars = _with_token(prefixes.select("token", row), best, hot).where(F.expr("x.node <> y.node") & _can_link("x", "y"))
+    stars = _with_token(short.select("token", row), best, hot).where(F.expr("x.node <> y.node") & _can_link("x", "y", "0"))
     candidates = stash(stars.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct())
     links = stash(_verified(candidates, sets))
     group = components(links)
 
-    in_group = stash(prefixes.join(group, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"))
-    discard(prefixes)
+    in_group = stash(prefixes.drop("bits").join(group, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"))
     tried = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stash(_across(in_group, hot).join(tried, ["a", "b"], "left_anti"))
+    more = stash(_across(in_group, prefixes.where("bits is not null").select("node", "bits"), hot).join(tried, ["a", "b"], "left_anti"))
     known = links.unionByName(_verified(more, sets)).unionByName(_same_ids(rows, nodes))
     final = components(known)
-    discard(in_group, candidates, links, group, more, sets)
+    discard(prefixes, in_group, candidates, links, group, more, sets)
 
     labelled = nodes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("doc").alias("component_id"))

@@ -1,7 +1,10 @@
+import itertools
+import math
 import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillmol.llm import ngram_join
 from quillmol.llm.components import components
@@ -65,3 +68,46 @@ def test_components_of_a_path(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(1, 41)} | {101: 100}
+
+
+def families(seed):
+    """Many components that share a passage, families whose members lose and gain a tenth, and sets of over 400 shingles."""
+    rng = random.Random(seed)
+    words = [f"v{i}" for i in range(3000)]
+    passage = [rng.choice(words) for _ in range(70)]
+    rows = []
+    for _ in range(30):  # what is left of each is shared by two texts
+        own = [rng.choice(words) for _ in range(rng.choice([12, 18, 25]))]
+        rows += [own + passage, own[:-1] + [rng.choice(words)] + passage]
+    for size in (40, 120, 700):
+        base = [rng.choice(words) for _ in range(size)]
+        for _ in range(25):
+            w = list(base)
+            for _ in range(max(1, rng.choice([size // 100, size // 50, size // 30]))):
+                w[rng.randrange(size)] = rng.choice(words)
+            rows.append(w[: size - rng.choice([0, 0, size // 12])])
+    return [(7 * i + 2, " ".join(w)) for i, w in enumerate(rows)]
+
+
+@pytest.mark.parametrize(("frequent", "block"), [(24, 2048), (2, 3)])
+def test_families_and_a_common_passage(spark, monkeypatch, frequent, block):
+    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rows = families(frequent)
+    got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
+def test_keys_grow_with_the_prefix(spark):
+    """A set of n tokens, all of them frequent, has no more than 2 n keys of two tokens."""
+    for n in (10, 100, 1000, 5000):
+        rows = spark.range(n).selectExpr("1L as node", f"{n}L as n", "0L as own", "1L as comp", "xxhash64(id) as token", "id as pos", "id as last", "true as frequent")
+        made = ngram_join._keys(rows.where(f"pos <= {n - (4 * n + 4) // 5} + {ngram_join.SUBCLASSES[int(math.log(n) / math.log(1.3))]}")).count()
+        assert 0.2 * n <= made <= 2 * n, (n, made)
+
+
+def test_combinations(spark):
+    t = spark.sql("select array(struct(3L as pos, 30L as token), struct(5L as pos, 50L as token), struct(6L as pos, 60L as token), struct(9L as pos, 90L as token)) as t")
+    for k, count in ((1, 4), (2, 6), (3, 4), (4, 1)):
+        rows = t.select(F.explode(ngram_join.combinations_of(F.col("t"), k)).alias("c")).select("c.*").collect()
+        assert len({r["key"] for r in rows}) == count == len(rows) and {(r["pos"], r["last"]) for r in rows} == {(c[0], c[-1]) for c in itertools.combinations([3, 5, 6, 9], k)}
