@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmol.llm.common import gapless, stash
+from quillmol.llm.common import copied, counted, discard, gapless, stash
 from quillmol.llm.textops import mix64, randoms
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -128,20 +128,20 @@ def slots(spark, sizes: list[int], wanted: list[float], block: int, shards: int,
     return spark.range(0, total, 1, max(1, -(-total // per_task))).mapInArrow(fill, SLOT)
 
 
-def sized(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, source, size, a hash of the text, and the columns more."""
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie"), *more)
+def sized(docs: DataFrame) -> DataFrame:
+    """Distinct rows of doc_id, source, size and a hash of the text, and copies, how many documents are so."""
+    return counted(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")))
 
 
-def placed(docs: DataFrame) -> DataFrame:
-    """Adds to rows of sized() the start, the words before each in its source, and the source's size. The one order of documents, of
-    mix() and of mixed_blocks(): by doc_id and size, those alike in both by the hash of their text."""
-    return gapless(docs, ["source"], ["doc_id", "size", "_tie"], "start", size=F.col("size"), total="source_size").drop("_tie")
+def placed(rows: DataFrame) -> DataFrame:
+    """Adds to stashed rows of sized() the start, the words before each in its source, and the source's size. The one order of
+    documents, of mix() and of mixed_blocks(): by doc_id and size, those alike in both by the hash of their text, copies in a run."""
+    return gapless(rows, ["source"], ["doc_id", "size", "tie"], "start", F.col("size") * F.col("copies"), rows.count(), "source_size")
 
 
 def plan(at: DataFrame, weights, times: float, cap: float) -> tuple[list, list[int], list[float]]:
     """Sources by code point, null last, their sizes and targets."""
-    rows = at.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
+    rows = at.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: group them before mixing")
     rows = sorted(rows, key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -150,20 +150,22 @@ def plan(at: DataFrame, weights, times: float, cap: float) -> tuple[list, list[i
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, weights=(3.0, 1.0, 2.0), times: float = 1.5, cap: float = 2.0, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken: the words that the mix takes of every document.
+    """doc_id, source, size, source_size, target, taken, the words that the mix takes of every document, and tie, a hash of its text.
 
     Each source's documents, in hash order, are one run of words cut into blocks; slots() says which blocks the
     mix takes and how often; both are joined by block index. A null text has no words and gives nothing; a null source is a
-    source of its own, the last. Repeated rows are documents of their own. An empty table gives an empty table.
+    source of its own, the last. Repeated rows, with words or without, are documents of their own. Other columns are not read. An
+    empty table gives an empty table.
     """
     spark = docs.sparkSession
-    at = stash(placed(stash(sized(docs))))
+    rows = stash(sized(docs))
+    at = stash(placed(rows))
+    discard(rows)
     sources, sizes, wanted = plan(at, weights, times, cap)
     config = [(i, s, float(t)) for i, (s, t) in enumerate(zip(sources, wanted, strict=True))]
     names = spark.createDataFrame(config, "src int, _source string, target double")
     at = at.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")  # at most MAX_SOURCES rows
-    if not sum(sizes):
-        return at.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    at = copied(at, "copies", "copy").withColumn("start", F.col("start") + F.col("copy") * F.col("size"))
     used = slots(spark, sizes, wanted, block, shards, seed).groupBy("src", "block").agg(
         F.sum(F.when(F.col("take") == block, 1).otherwise(0)).alias("_full"), F.max(F.when(F.col("take") < block, F.col("take")).otherwise(0)).alias("_part")
     )
@@ -174,21 +176,26 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, weights=(3.0,
     hi = F.least(F.col("start") + F.col("size") - F.col("block") * b, b)
     parts = parts.withColumn("_lo", lo).withColumn("_hi", hi).join(used, ["src", "block"], "left")
     words = F.coalesce(F.col("_full"), F.lit(0)) * (F.col("_hi") - F.col("_lo")) + F.greatest(F.least(F.coalesce(F.col("_part"), F.lit(0)), F.col("_hi")) - F.col("_lo"), F.lit(0))
-    keys = ["doc_id", "source", "size", "source_size", "target", "start"]
-    return parts.groupBy(*keys).agg(F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken")).drop("start")
+    keys = ["doc_id", "source", "size", "source_size", "target", "tie", "copy"]  # a document each
+    return parts.groupBy(*keys).agg(F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken")).drop("copy")
 
 
 def mixed_blocks(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, weights=(3.0, 1.0, 2.0), times: float = 1.5, cap: float = 2.0, seed: int = SEED) -> DataFrame:
     """The mix itself: shard, slot, source number and the block's words, joined by a space. Its words of each document are those that
-    mix() with the same arguments says are taken."""
+    mix() with the same arguments says are taken. Texts without words are in no block; repeated rows are in as many as they are, other
+    columns are not read, and an empty table gives an empty table."""
     spark = docs.sparkSession
-    at = stash(placed(sized(docs, "text")))
+    rows = stash(sized(docs))
+    at = stash(placed(rows))
+    discard(rows)
     sources, sizes, wanted = plan(at, weights, times, cap)
-    if not sum(sizes):
-        return spark.createDataFrame([], "shard int, slot long, src int, text string")
     names = spark.createDataFrame(list(enumerate(sources)), "src int, _source string")
     b = F.lit(block)
-    parts = at.where("size > 0").join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_w", F.regexp_extract_all("text", F.lit(f"({WORDS})")))
+    texts = docs.where("text is not null").select(F.col("doc_id").alias("_id"), F.col("source").cast("string").alias("_s"), F.xxhash64("text").alias("_t"), "text")
+    texts = texts.groupBy("_id", "_s", "_t").agg(F.first("text").alias("text"))
+    whole = at.where("size > 0").join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("tie") == F.col("_t")))
+    whole = copied(whole, "copies", "copy").withColumn("start", F.col("start") + F.col("copy") * F.col("size"))
+    parts = whole.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_w", F.regexp_extract_all("text", F.lit(f"({WORDS})")))  # names: at most MAX_SOURCES rows
     parts = parts.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))))
     lo, hi = F.greatest(F.col("block") * b, F.col("start")), F.least((F.col("block") + 1) * b, F.col("start") + F.col("size"))
     parts = parts.select("src", "block", F.struct("start", F.slice("_w", (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int")).alias("w")).alias("p"))

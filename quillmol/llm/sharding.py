@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmol.llm.common import gapless
+from quillmol.llm.common import copied, counted, gapless
 
 #: Hex digits of the MD5 of key:shard that make the uniform draw; 13 digits are 52 bits, exact in a double.
 DIGITS = 13
@@ -30,7 +30,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, weights: list[float] |
 
     The key is doc_id as text (null: empty), so copies of a row share a shard. size is the text's UTF-8
     bytes (null: none) plus 8; a null text has the checksum of no bytes. Slots are gapless from 0 in each shard in
-    doc_id order within hash buckets. weights: one per shard, equal if None; the grown set's new shard has the mean weight.
+    doc_id order within hash buckets; equal rows, which are counted first, have slots in a run. weights: one per shard, equal if None; the grown set's new shard has the mean weight.
     An empty table gives an empty table; other columns are left out.
     """
     weights = weights or [1.0] * n_shards
@@ -48,5 +48,6 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, weights: list[float] |
         F.array_min(F.slice("_costs", 1, len(weights)))["s"].cast("int").alias("shard"),
         F.array_min("_costs")["s"].cast("int").alias("grown_shard"),
     )
-    out = gapless(placed, ["shard"], ["doc_id", "text_crc32", "size"], "slot")
+    begun = gapless(counted(placed), ["shard"], ["doc_id", "text_crc32", "size"], "_first", F.col("copies"), docs.count())
+    out = copied(begun, "copies", "_copy").withColumn("slot", F.col("_first") + F.col("_copy"))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
