@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import random
 import re
@@ -24,12 +26,13 @@ BASE = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What may be personal data in other writing: high recall, overlaps allowed.
+#: What may be personal data in other writing: high recall, overlaps allowed; none
+#: begins or ends inside a run of digits.
 WIDE = {
-    "email": r"[\w.+-]{2,40}\s?(?:@|\(at\)|\[at\]|\sat\s)\s?[\w-]{2,40}(?:\s?(?:\.|\(dot\)|\[dot\]|\sdot\s)\s?[A-Za-z]{2,12}){1,3}",
-    "ip": r"[0-9]{1,3}(?:\s?(?:\.|\[\.\]|\(\.\))\s?[0-9]{1,3}){3}",
-    "card": r"[0-9]{4}(?:[ ./_-]{0,2}[0-9]){9,15}",
-    "phone": r"(?:\+|00)?\(?[0-9]{2,4}\)?(?:[ ./-]{1,2}\(?[0-9]{2,4}\)?){2,4}",
+    "email": r"[\w.+-]+\s?(?:@|\(at\)|\[at\]|\sat\s)\s?[\w-]{2,63}(?:\s?(?:\.|\(dot\)|\[dot\]|\sdot\s)\s?[A-Za-z]{2,12}){1,3}",
+    "ip": r"(?<![0-9])[0-9]{1,3}(?:\s?(?:\.|\[\.\]|\(\.\))\s?[0-9]{1,3}){3}(?![0-9])",
+    "card": r"(?<![0-9])[0-9]{4}(?:[ ./_-]{0,2}[0-9]){9,15}(?![0-9])",
+    "phone": r"(?<![0-9])(?:\+|00)?\(?[0-9]{2,4}\)?(?:[ ./-]{1,2}\(?[0-9]{2,4}\)?){2,4}(?![0-9])",
 }
 #: Words before or after a span that speak for or against a kind: fixed values.
 CUES = {
@@ -50,32 +53,50 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str, patterns: dict):
+    """(start, end) of the e-mail pattern. Its local part has no @, so each @ is tried once, with the run of local characters that ends there."""
+    at, after = text.find("@"), 0
+    while at >= 0:
+        own = text[after:at]
+        start = after + len(own.rstrip(_LOCAL))
+        after = at + 1
+        host = patterns["host"].match(text, after) if start < at else None
+        if host:
+            yield start, host.end()
+            after = host.end()
+        at = text.find("@", after)
+
+
+def _ips(text: str, patterns: dict):
+    """(start, end) of the address pattern: in a chain of numbers with single dots it takes four at a time."""
+    for m in patterns["chain"].finditer(text):
+        parts, at = m[0].split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(x.lstrip("0")) < 4 and int(x[-3:]) <= 255 for x in four):
+                yield at, end
+            at = end + 1
+
+
 def base_spans(text: str, patterns: dict) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the fixed patterns, leftmost and not overlapping within a kind; failing matches are dropped."""
-    out = []
-    at = text.find("@")
-    done = 0
-    while at >= 0:  # the pattern's characters form runs; only runs with an @ can match
-        lo, hi = at, at + 1
-        while lo > done and (text[lo - 1] in _EMAIL_CHARS):
-            lo -= 1
-        while hi < len(text) and text[hi] in _EMAIL_CHARS:
-            hi += 1
-        out += [(m.start(), 0, m.end()) for m in patterns["email"].finditer(text, lo, hi)]
-        done = hi
-        at = text.find("@", hi)
+    """(start, kind, end) of the fixed patterns, leftmost and not overlapping within a kind; failing matches are dropped. The time is
+    linear in the text: no run of characters is tried from each of its places."""
+    out = [(a, 0, b) for a, b in _emails(text, patterns)]
     if patterns["digit"].search(text):
-        out += [(m.start(), 1, m.end()) for m in patterns["ip"].finditer(text) if max(len(x.lstrip("0")) for x in m[0].split(".")) < 4 and max(map(int, m[0].split("."))) <= 255]
+        out += [(a, 1, b) for a, b in _ips(text, patterns)]
         for m in patterns["card"].finditer(text):
-            digits = m[0].replace(" ", "").replace("-", "")
-            if 14 <= len(digits) <= 19 and luhn(digits):
-                out.append((m.start(), 2, m.end()))
+            if m.end() - m.start() <= 37:  # 19 digits and 18 separators
+                digits = m[0].replace(" ", "").replace("-", "")
+                if 14 <= len(digits) <= 19 and luhn(digits):
+                    out.append((m.start(), 2, m.end()))
         if "+" in text:
             out += [(m.start(), 3, m.end()) for m in patterns["phone"].finditer(text) if 10 <= sum(c.isdigit() for c in m[0]) <= 15]
     return out
 
 
-_EMAIL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-@")
+#: Characters of an e-mail's local part.
+_LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
 
 
 def features(text: str, start: int, end: int, kind: int) -> list[float]:
@@ -90,20 +111,30 @@ def features(text: str, start: int, end: int, kind: int) -> list[float]:
         float(kind), float(len(span)), float(len(digits)), float(len(groups)), float(max(map(len, groups), default=0)), float(min(map(len, groups), default=0)),
         float(bool(digits) and luhn(digits)), float(len(groups) == 4 and all(len(g) < 4 and int(g) <= 255 for g in groups)),
         float(len(seps)), float("." in seps), float("-" in seps), float(" " in seps), float("/" in seps), float("(" in span and ")" in span), float(span[:1] == "+" or span[:2] == "00"),
-        float("@" in span), float(bool(re.search(r"[(\[]\s?(?:at|dot|\.)\s?[)\]]", span))), float(bool(re.search(r"\sdot\s", span))), float(any(ord(c) > 127 for c in span)),
-        float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before[-1:] in "$€£#v" and before != ""), float(after[:1] in "%°" and after != ""),
+        float("@" in span), float(bool(re.search(r"[(\[]\s?(?:at|dot|\.)\s?[)\]]", span))), float(bool(re.search(r"\sdot\s", span))), float(bool(re.search(r"\.\s", span))), float("\n" in span), float(any(ord(c) > 127 for c in span)),
+        float(bool(re.match(r"[\w+-]*[._0-9+][\w.+-]*[\s@(\[]", span))), float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before[-1:] in "$€£#v" and before != ""), float(after[:1] in "%°" and after != ""),
         float(bool(re.search(r"(?:19|20)[0-9]{2}[./ -][0-9]{1,2}[./ -][0-9]{1,2}|[0-9]{1,2}[./ -][0-9]{1,2}[./ -](?:19|20)[0-9]{2}", span))),
         float(len(set(digits))), cue("email"), cue("ip"), cue("card"), cue("phone"), cue("not"),
     ]
 
 
+def _wide_emails(text: str, patterns: dict):
+    """(start, end) of the wide e-mail pattern: each at, written in any way, with the whole name before it."""
+    after = 0
+    for m in patterns["at"].finditer(text):
+        start = m.start() - (m.start() > after and text[m.start() - 1].isspace())
+        end = start
+        while start > after and ((c := text[start - 1]).isalnum() or c in "_.+-"):
+            start -= 1
+        after = m.end()
+        host = patterns["wide_host"].match(text, after) if start < end else None
+        if host:
+            yield start, host.end()
+
+
 def proposals(text: str, patterns: dict) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what may be personal data; may overlap."""
-    out = []
-    if "@" in text or patterns["at"].search(text):
-        for m in patterns["at"].finditer(text):  # the wide pattern is tried only around an at
-            lo = max(0, m.start() - 42)
-            out += [(x.start(), 0, x.end()) for x in patterns["wide"]["email"].finditer(text, lo, min(len(text), m.end() + 90)) if x.start() <= m.start() < x.end()]
+    out = [(a, 0, b) for a, b in _wide_emails(text, patterns)]
     if patterns["digit"].search(text):
         for k in (1, 2, 3):
             out += [(m.start(), k, m.end()) for m in patterns["wide"][KINDS[k]].finditer(text)]
@@ -111,7 +142,10 @@ def proposals(text: str, patterns: dict) -> list[tuple[int, int, int]]:
 
 
 def compiled() -> dict:
-    return {k: re.compile(p) for k, p in BASE.items()} | {"digit": re.compile("[0-9]"), "at": re.compile(r"@|\(at\)|\[at\]|\sat\s[\w-]+\sdot\s"), "wide": {k: re.compile(p) for k, p in WIDE.items()}}
+    """The patterns, and their parts that are tried at a place known before: what follows an at, and chains of numbers."""
+    after_at = lambda p, mark: p[p.index(mark) + len(mark) :]
+    parts = {"host": after_at(BASE["email"], "@"), "wide_host": after_at(WIDE["email"], r"\sat\s)"), "chain": r"[0-9]+(?:\.[0-9]+)*", "digit": "[0-9]", "at": r"@|\(at\)|\[at\]|\sat\s"}
+    return {k: re.compile(p) for k, p in (BASE | parts).items()} | {"wide": {k: re.compile(p) for k, p in WIDE.items() if k != "email"}}
 
 
 def _example(rng: random.Random) -> tuple[str, int, int, int, int]:
@@ -123,7 +157,9 @@ def _example(rng: random.Random) -> tuple[str, int, int, int, int]:
     if kind == 0:
         at, dot = rng.choice([("@", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), (" [at] ", ".")])
         name, host, end = letters(2, 9) + rng.choice(["", ".", "_", number(2)]) + letters(1, 4), letters(3, 9), rng.choice(["com", "org", "net", "de", "fr", "es"])
-        span = f"{name}{at}{host}{dot}{end}" if good else rng.choice([f"{letters(2, 9)} at {letters(3, 8)}. {letters(3, 8).title()}", f"{letters(2, 5)} at {letters(3, 8)}.{letters(2, 4)}", f"{letters(3, 6)} at {letters(2, 4)} . {letters(4, 9)}"])
+        if rng.random() < 0.2:  # a host as it is, after a name that is no plain word
+            at, dot, name = " at ", ".", letters(2, 9) + rng.choice([".", "_", number(2)]) + letters(2, 8)
+        span = f"{name}{at}{host}{dot}{end}" if good else rng.choice([f"{letters(2, 9)} at {letters(2, 8)}{rng.choice(['. ', '.\n', '.\n\n', ' . '])}{letters(2, 9).title()}", f"{letters(2, 5)} at {letters(3, 8)}.{letters(2, 4)}", f"{letters(3, 6)} at {letters(2, 4)} . {letters(4, 9)}"])
     elif kind == 1:
         octet = lambda: str(rng.randint(1, 255))
         sep = rng.choice([".", "[.]", "(.)", " . "])
@@ -146,6 +182,7 @@ def _example(rng: random.Random) -> tuple[str, int, int, int, int]:
     return text, len(before), len(before) + len(span), kind, int(good)
 
 
+@functools.lru_cache(maxsize=4)
 def train(seed: int = 11, n: int = 6000) -> tuple[Boosted, list[float]]:
     """The trees, learned from made examples, and a threshold for each kind, calibrated on others."""
     rng = random.Random(seed)
@@ -158,13 +195,36 @@ def train(seed: int = 11, n: int = 6000) -> tuple[Boosted, list[float]]:
     return model, [max(0.0, calibrated(scores[kinds[cut:] == k], y[cut:][kinds[cut:] == k], PRECISION)) for k in range(4)]
 
 
+class Taken:
+    """Disjoint spans, in order."""
+
+    def __init__(self, spans: list[tuple[int, int]] = ()):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect.bisect_left(self.starts, b)
+        return i == 0 or self.ends[i - 1] <= a
+
+    def add(self, a: int, b: int) -> None:
+        i = bisect.bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
 def find(texts: list[str], model: Boosted, thresholds: list[float], patterns: dict) -> list[tuple[list, list]]:
     """For each text its fixed spans, and all spans; a chosen span overlaps no other."""
     base = [base_spans(t, patterns) for t in texts]
+    taken = [Taken([(a, b) for a, _, b in own]) for own in base]
     rows, where = [], []
     for i, t in enumerate(texts):
         for s, k, e in proposals(t, patterns):
-            if all(e <= a or s >= b for a, _, b in base[i]):
+            if taken[i].free(s, e):
                 rows.append(features(t, s, e, k))
                 where.append((i, s, k, e))
     chosen: list[list] = [[] for _ in texts]
@@ -172,8 +232,9 @@ def find(texts: list[str], model: Boosted, thresholds: list[float], patterns: di
         scores = model.log_odds(np.array(rows))
         for j in np.argsort(-scores, kind="stable").tolist():
             i, s, k, e = where[j]
-            if scores[j] >= thresholds[k] and all(e <= a or s >= b for a, _, b in chosen[i]):
+            if scores[j] >= thresholds[k] and taken[i].free(s, e):
                 chosen[i].append((s, k, e))
+                taken[i].add(s, e)
     return [(sorted(b), sorted(b + c)) for b, c in zip(base, chosen, strict=True)]
 
 
@@ -196,7 +257,7 @@ KEPT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text"
 
 
 def _apply(docs: DataFrame, columns: list[str], schema: T.StructType, row) -> DataFrame:
-    model, thresholds = train()
+    model, thresholds = train()  # made once in a driver
 
     def run(batches):
         import pyarrow as pa
