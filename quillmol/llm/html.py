@@ -6,6 +6,8 @@ nodes in which a kept node's ancestors are kept, decoding takes the most likely
 
 from __future__ import annotations
 
+import bisect
+import functools
 import html as entities
 import random
 import re
@@ -25,12 +27,13 @@ RAW = frozenset("script style textarea title".split())
 IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 #: Only these and tags within them may close themselves.
 FOREIGN = frozenset("svg math".split())
+CELLS = ("td", "th", "table")
 BLOCKS = frozenset("html body div section article main header footer nav aside p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption tr td th thead tbody tfoot blockquote pre figure figcaption form fieldset address details summary hr menu dialog center".split())
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption"}
 #: What an opening tag ends, up to which tags.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([A-Za-z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+ATTRIBUTE = re.compile(r"(?<![A-Za-z_:-])([A-Za-z_:-]++)\s*+=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 SPACE = re.compile(r"\s+")
 #: Tokens of class, id and role that tell what a node is: fixed values.
 CUES = (
@@ -48,6 +51,8 @@ CUES = (
 _CUES = [frozenset(c.split()) for c in CUES]
 TAGS = ("article main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "li", "ul ol dl menu", "nav", "header", "footer", "aside", "form fieldset", "td th tr table tbody", "blockquote pre figure figcaption", "html body")
 _TAGS = {t: i for i, group in enumerate(TAGS) for t in group.split()}
+#: Tags whose descendants are told apart: main text, what surrounds it, and neutral ones.
+_ABOVE = {t: 1 << i for i, group in enumerate(("article main", "nav aside footer header form", "section div")) for t in group.split()}
 
 
 class Page:
@@ -58,6 +63,8 @@ class Page:
         self.chars, self.links, self.marks = [0], [0], [0]  # of the node itself
         self.blocks: list[tuple[int, str]] = []
         stack: list[tuple[str, int]] = [("html", 0)]  # tag and the block node that it or its nearest block ancestor is
+        places: dict[str, list[int]] = {"html": [0]}  # of each open tag's name, in the stack
+        open_blocks = [0]
         hidden, in_link, at, text = 0, 0, 0, []
 
         def flush():
@@ -74,11 +81,17 @@ class Page:
             nonlocal hidden, in_link
             while len(stack) > n:
                 t, _ = stack.pop()
+                places[t].pop()
                 hidden -= t in HIDDEN
                 in_link -= t == "a"
                 if t in BLOCKS:
+                    open_blocks.pop()
                     flush()
 
+        def last(names):
+            """The highest place of an open tag of these names; 0 is the page."""
+            return max([0, *(places[t][-1] for t in names if places.get(t))])
+
         def say(raw):
             if stack[-1][0] == "head" and raw.strip():
                 pop(len(stack) - 1)
@@ -90,9 +103,9 @@ class Page:
                 if in_link:
                     self.links[stack[-1][1]] += len(said.strip())
 
-        n = len(source)
+        n, closed = len(source), source.rfind(">")
         while at < n:
-            m = TOKEN.search(source, at)
+            m = TOKEN.search(source, at) if at <= closed or source.find("<!--", at) >= 0 else None  # no tag ends any more
             if not m:
                 say(source[at:])
                 break
@@ -103,19 +116,14 @@ class Page:
             name = m[2].lower()
             self.marks[stack[-1][1]] += 1
             if name == "body" and hidden:
-                for i in range(1, len(stack)):
-                    if stack[i][0] == "head":
-                        pop(i)
-                        break
+                if places.get("head"):
+                    pop(places["head"][0])
             elif stack[-1][0] == "head" and not m[1] and name not in IN_HEAD:
                 pop(len(stack) - 1)
             if m[1]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        pop(i)
-                        break
-                    if stack[i][0] in ("td", "th", "table") and name not in BLOCKS:
-                        break
+                i = last([name])
+                if i and (name in BLOCKS or i > last(CELLS)):
+                    pop(i)
                 continue
             if name in VOID:
                 if name == "hr":
@@ -126,23 +134,15 @@ class Page:
                         text.clear()
                 continue
             if name in CLOSES_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        pop(i)
-                        break
-                    if stack[i][0] in BLOCKS:
-                        break
+                if stack[open_blocks[-1]][0] == "p":
+                    pop(open_blocks[-1])
             if name in ENDS:
                 ended, until = ENDS[name]
-                low = None
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in until:
-                        break
-                    if stack[i][0] in ended:
-                        low = i
+                end = last(until)
+                low = min((own[k] for t in ended if (own := places.get(t)) and (k := bisect.bisect_right(own, end)) < len(own)), default=0)
                 if low:
                     pop(low)
-            if m[3].endswith("/") and (name not in BLOCKS | HIDDEN or name in FOREIGN or name not in BLOCKS and any(t in FOREIGN for t, _ in stack)):
+            if m[3].endswith("/") and (name not in BLOCKS | HIDDEN or name in FOREIGN or name not in BLOCKS and last(FOREIGN)):
                 continue
             if name in ("html", "body"):
                 continue
@@ -158,6 +158,8 @@ class Page:
                 self.words.append(tuple(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", said).lower())))
                 for own in (self.chars, self.links, self.marks):
                     own.append(0)
+                open_blocks.append(len(stack))
+            places.setdefault(name, []).append(len(stack))
             stack.append((name, node))
             hidden += name in HIDDEN
             in_link += name == "a"
@@ -183,48 +185,50 @@ class Page:
             marks[p] += marks[i]
             below[p] += below[i]
             paragraphs[p] += paragraphs[i] + (self.tag[i] == "p")
-        children, alike, place, seen = [0] * k, [0] * k, [0] * k, {}
-        for i in range(1, k):
-            place[i] = children[parent[i]]
-            children[parent[i]] += 1
-            key = (parent[i], self.tag[i])
-            seen[key] = seen.get(key, 0) + 1
-        rows = np.zeros((k, len(TAGS) + 2 * len(CUES) + 15))
-        inherited = np.zeros((k, len(CUES)))
-        tags_above = np.zeros((k, 3))
-        total = max(1, chars[0])
+        children, place, seen = [0] * k, [0] * k, {}
+        own_cues, cues_above, tags_above = [0] * k, [0] * k, [0] * k  # bits
         for i in range(k):
-            p = parent[i]
-            tag = _TAGS.get(self.tag[i])
-            if tag is not None:
-                rows[i, tag] = 1
             if self.words[i]:
-                for j, c in enumerate(_CUES):
-                    rows[i, len(TAGS) + j] = any(w in c for w in self.words[i])
+                own_cues[i] = sum(1 << j for j, c in enumerate(_CUES) if not c.isdisjoint(self.words[i]))
+            p = parent[i]
             if p >= 0:
-                inherited[i] = np.maximum(inherited[p], rows[p, len(TAGS) : len(TAGS) + len(CUES)])
-                tags_above[i] = np.maximum(tags_above[p], (self.tag[p] in ("article", "main"), self.tag[p] in ("nav", "aside", "footer", "header", "form"), self.tag[p] in ("section", "div")))
-            alike[i] = seen.get((p, self.tag[i]), 1)
-            rows[i, -15:] = (
-                self.depth[i], np.log1p(chars[i]), np.log1p(self.chars[i]), links[i] / max(1, chars[i]), chars[i] / (chars[i] + 20 * marks[i]), chars[i] / total, below[i],
-                children[i], alike[i], place[i] / max(1, children[p] if p >= 0 else 1), paragraphs[i], i / k, *tags_above[i],
-            )
-        rows[:, len(TAGS) + len(CUES) : len(TAGS) + 2 * len(CUES)] = inherited
+                place[i] = children[p]
+                children[p] += 1
+                key = (p, self.tag[i])
+                seen[key] = seen.get(key, 0) + 1
+                cues_above[i] = cues_above[p] | own_cues[p]
+                tags_above[i] = tags_above[p] | _ABOVE.get(self.tag[p], 0)
+        alike = [seen.get((p, t), 1) for p, t in zip(parent, self.tag, strict=True)]
+        tags, cues = len(TAGS), len(CUES)
+        rows = np.zeros((k, tags + 2 * cues + 15), np.float32)
+        tag = np.array([_TAGS.get(t, -1) for t in self.tag])
+        known = np.flatnonzero(tag >= 0)
+        rows[known, tag[known]] = 1
+        bits = lambda x, n: (np.array(x, np.int64)[:, None] >> np.arange(n)) & 1
+        rows[:, tags : tags + cues] = bits(own_cues, cues)
+        rows[:, tags + cues : tags + 2 * cues] = bits(cues_above, cues)
+        n, own, linked, marked = (np.array(x, float) for x in (chars, self.chars, links, marks))
+        siblings = np.array([children[p] if p >= 0 else 1 for p in parent])
+        numbers = (
+            self.depth, np.log1p(n), np.log1p(own), linked / np.maximum(1, n), n / (n + 20 * marked), n / max(1, chars[0]), below,
+            children, alike, np.array(place) / np.maximum(1, siblings), paragraphs, np.arange(k) / k,
+        )
+        for j, column in enumerate(numbers):
+            rows[:, tags + 2 * cues + j] = column
+        rows[:, -3:] = bits(tags_above, 3)
         return rows
 
     def keep(self, log_odds: np.ndarray) -> np.ndarray:
         """The most likely kept set in which a kept node's parent is kept."""
-        k = len(self.tag)
-        on, off = -np.logaddexp(0, -log_odds), -np.logaddexp(0, log_odds)
-        best, none = on.copy(), off.copy()  # of a subtree: its root kept, and nothing kept
-        for i in range(k - 1, 0, -1):
-            best[self.parent[i]] += max(best[i], none[i])
-            none[self.parent[i]] += none[i]
-        kept = np.zeros(k, bool)
-        kept[0] = best[0] > none[0]
-        for i in range(1, k):
-            kept[i] = kept[self.parent[i]] and best[i] >= none[i]
-        return kept
+        parent = self.parent
+        best, none = (-np.logaddexp(0, -log_odds)).tolist(), (-np.logaddexp(0, log_odds)).tolist()  # of a subtree: its root kept, and nothing kept
+        for i in range(len(parent) - 1, 0, -1):
+            best[parent[i]] += max(best[i], none[i])
+            none[parent[i]] += none[i]
+        kept = [best[0] > none[0]]
+        for i in range(1, len(parent)):
+            kept.append(kept[parent[i]] and best[i] >= none[i])
+        return np.array(kept)
 
     def text(self, kept: np.ndarray) -> str:
         return "\n\n".join(b for i, b in self.blocks if kept[i])
@@ -315,6 +319,7 @@ def _made_page(rng: random.Random) -> tuple[str, set[str]]:
     return f"<!DOCTYPE html><html><head><title>{words(1, 6)}</title><style>p{{}}</style><script>var a='</p>';</script></head><body>{body}</body></html>", mine
 
 
+@functools.lru_cache(maxsize=4)
 def train(seed: int = 23, pages: int = 500) -> Boosted:
     """Learned from made pages; a page's own marks say which nodes are main text."""
     rng = random.Random(seed)
@@ -351,7 +356,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every whole page.
 
     Blocks are joined by two line feeds. A null or empty page, or one without main text, gives an empty text; a null url
-    stays null; repeated rows are read each; broken markup is read as far as it goes; other columns are left out.
+    stays null; repeated rows are read each; broken markup is read as far as it goes, in a time linear in its length; other columns are left out; an empty table
+    gives an empty table.
     """
     model = train()
 
