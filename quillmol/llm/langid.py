@@ -23,9 +23,13 @@ def letter_vector(cp: int) -> np.ndarray:
 
 class Profiles:
     """Vectors of texts. Letters become their lower-case code points, any run of other characters one gap; an n-gram's vector is the
-    product of its letters' random vectors, each rolled by its place; a text's vector is the sum over its n-grams."""
+    product of its letters' random vectors, each rolled by its place; a text's vector is the sum over its n-grams. Only letters'
+    vectors are kept; n-grams' are made CHUNK at a time, so memory depends on neither the texts' length nor their n-grams."""
 
-    def __init__(self, keep: int = 20_000):
+    #: Distinct n-grams of texts bundled together, characters read at once, n-grams made at once, letters kept.
+    GRAMS, WINDOW, CHUNK, LETTERS = 1 << 17, 1 << 20, 1 << 12, 1 << 15
+
+    def __init__(self):
         import sys
         import unicodedata
 
@@ -35,56 +39,71 @@ class Profiles:
             if ch.isalpha():
                 low = ch.lower()
                 self.letters[c] = ord(low) if len(low) == 1 else ord(unicodedata.normalize("NFKD", low)[0])
-        self.vectors: dict[int, np.ndarray] = {}
-        self.ids: dict[int, int] = {}
-        self.matrix = np.empty((0, DIM), np.float32)
-        self.keep = keep
-
-    def _letter(self, cp: int) -> np.ndarray:
-        if cp not in self.vectors:
-            self.vectors[cp] = letter_vector(cp)
-        return self.vectors[cp]
+        self.place = np.full(sys.maxunicode + 1, -1, np.int32)  # of a letter's vector
+        self.known, self.vectors = 0, np.empty((64, DIM), np.int8)
+
+    def _letters(self, cps: np.ndarray) -> np.ndarray:
+        """The vectors of letters, at most CHUNK * N of them, making those that are new."""
+        new = np.unique(cps[self.place[cps] < 0])
+        if self.known + len(new) > self.LETTERS:
+            self.place[:], self.known, new = -1, 0, np.unique(cps)
+        while self.known + len(new) > len(self.vectors):
+            self.vectors = np.concatenate([self.vectors, np.empty_like(self.vectors)])
+        for c in new.tolist():
+            self.vectors[self.known] = letter_vector(c)
+            self.place[c], self.known = self.known, self.known + 1
+        return self.vectors[self.place[cps]]
 
     def grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct n-grams, as packed code points, and their counts."""
-        cps = self.letters[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        if not cps.any():
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        keep = np.ones(len(cps), bool)
-        keep[1:] = (cps[1:] != 0) | (cps[:-1] != 0)
-        padded = np.concatenate(([0], cps[keep], [0])).astype(np.uint64)
-        if len(padded) < N:
+        before, parts = np.zeros(1, np.uint32), []  # a gap
+        for i in range(0, len(text), self.WINDOW):
+            cps = self.letters[np.frombuffer(text[i : i + self.WINDOW].encode("utf-32-le", "surrogatepass"), np.uint32)]
+            if i + self.WINDOW >= len(text):
+                cps = np.append(cps, np.uint32(0))
+            keep = cps != 0
+            keep[1:] |= cps[:-1] != 0
+            keep[0] |= before[-1] != 0
+            run = np.concatenate((before, cps[keep])).astype(np.uint64)
+            if len(run) >= N:
+                parts.append(np.unique((run[:-2] << np.uint64(42)) | (run[1:-1] << np.uint64(21)) | run[2:], return_counts=True))
+            before = run[1 - N :].astype(np.uint32)
+        if len(parts) == 1:
+            return parts[0]
+        if not parts:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
-        packed = (padded[:-2] << np.uint64(42)) | (padded[1:-1] << np.uint64(21)) | padded[2:]
-        return np.unique(packed, return_counts=True)
-
-    def rows(self, keys: np.ndarray) -> np.ndarray:
-        """Rows of the n-grams in the matrix, making those that are new."""
-        new = [k for k in keys.tolist() if k not in self.ids]
-        if new:
-            if len(self.ids) + len(new) > self.keep:
-                self.ids, self.matrix, new = {}, np.empty((0, DIM), np.float32), keys.tolist()
-            made = np.empty((len(new), DIM), np.float32)
-            low = (1 << 21) - 1
-            for i, k in enumerate(new):
-                made[i] = np.roll(self._letter(k >> 42), 2) * np.roll(self._letter(k >> 21 & low), 1) * self._letter(k & low)
-            self.ids.update(zip(new, range(len(self.matrix), len(self.matrix) + len(new)), strict=True))
-            self.matrix = np.concatenate([self.matrix, made])
-        return np.fromiter((self.ids[k] for k in keys.tolist()), np.int64, len(keys))
-
-    def bundle(self, texts: list[str], group: int = 128):
-        """The vectors of the texts, a group at a time; a text without letters has a zero vector."""
-        for i in range(0, len(texts), group):
-            part = [self.grams(t) for t in texts[i : i + group]]
+        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+    def _made(self, keys: np.ndarray) -> np.ndarray:
+        """The vectors of n-grams."""
+        low = np.uint64((1 << 21) - 1)
+        out = self._letters((keys & low).astype(np.int64))
+        for place in range(1, N):
+            letters, at = np.unique((keys >> np.uint64(21 * place)) & low, return_inverse=True)
+            out = out * np.roll(self._letters(letters.astype(np.int64)), place, axis=1)[at]
+        return out.astype(np.float32)
+
+    def bundle(self, texts: list[str], group: int = 128) -> np.ndarray:
+        """The vectors of the texts, a row each; a text without letters has a zero vector. Texts go together, up to
+        group of them, while their n-grams are few."""
+        out = np.zeros((len(texts), DIM), np.float32)
+        i = 0
+        while i < len(texts):
+            part, n = [], 0
+            while i + len(part) < len(texts) and len(part) < group and (not part or n < self.GRAMS):
+                part.append(self.grams(texts[i + len(part)] or ""))
+                n += len(part[-1][0])
             keys = np.unique(np.concatenate([k for k, _ in part]))
-            counts = np.zeros((len(part), len(keys)), np.float32)
-            for j, (k, n) in enumerate(part):
-                counts[j, np.searchsorted(keys, k)] = n
-            if not len(keys):
-                yield np.zeros((len(part), DIM), np.float32)
-                continue
-            at = self.rows(keys)  # may grow the matrix
-            yield counts @ self.matrix[at]
+            for a in range(0, len(keys), self.CHUNK):
+                some = keys[a : a + self.CHUNK]
+                counts = np.zeros((len(part), len(some)), np.float32)
+                for j, (k, c) in enumerate(part):
+                    lo, hi = np.searchsorted(k, some[0]), np.searchsorted(k, some[-1], "right")
+                    counts[j, np.searchsorted(some, k[lo:hi])] = c[lo:hi]
+                out[i : i + len(part)] += counts @ self._made(some)
+            i += len(part)
+        return out
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
@@ -108,7 +127,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 langs, texts = batch.column(0).slice(i, 128).to_pylist(), batch.column(1).slice(i, 128).to_pylist()
-                vectors = next(profiles.bundle(texts))
+                vectors = profiles.bundle(texts)
                 norms = np.linalg.norm(vectors, axis=1, keepdims=True)
                 for lang, v in zip(langs, vectors / np.maximum(norms, 1e-9), strict=True):
                     sums[lang] = sums.get(lang, 0) + np.rint(v.astype(np.float64) * 1e6).astype(np.int64)  # whole numbers: any order of sums agrees
@@ -135,7 +154,7 @@ def _scored(docs: DataFrame, model: tuple[list[str], np.ndarray], text: int, sch
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 rows = batch.slice(i, 128)
-                vectors = next(profiles.bundle([t or "" for t in rows.column(text).to_pylist()]))
+                vectors = profiles.bundle(rows.column(text).to_pylist())
                 norms = np.linalg.norm(vectors, axis=1)
                 pred, score = [UNKNOWN] * rows.num_rows, [0.0] * rows.num_rows
                 if langs:
