@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import zlib
 
 import numpy as np
@@ -9,9 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmol.llm.common import stash
+
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 1024
 END_ID = 2
+#: Pieces that one task packs, some 60 bytes each; there are as many tasks as the pieces need.
+PIECES = 1 << 16
 #: Chunks whose ids a worker keeps, about 200 bytes each.
 CACHE = 400_000
 
@@ -107,7 +112,8 @@ class Ids:
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and the end id, cut to the capacity; the first
-    piece is the shorter one. A null or empty text has the end id only."""
+    piece is the shorter one. A null or empty text has the end id only. A null doc_id stays null; repeated rows are cut each; other
+    columns are left out; an empty table gives an empty table."""
 
     def run(batches):
         import pyarrow as pa
@@ -142,55 +148,65 @@ def best_fit(lengths: np.ndarray, costs: np.ndarray, capacity: tuple[float, floa
     An item needs its tokens, one document and its attention cost; a bin has a residual of each. Among the
     open bins that hold the item under every constraint, rule "dot" takes the one of largest weighted dot product of
     the item with what the bin has used, and "norm" the one of least weighted norm of what would be left; ties
-    go to the fuller bin. Open bins are kept by residual tokens; each class's candidate is its bin of largest residual
-    cost and, among equals, documents, so an item looks at no more than one bin for each residual.
+    go to the fuller bin. Open bins are kept by residual tokens, in order of residual cost and then documents; of each class the first that
+    holds the item, which no other of the class beats in tokens and cost, is the candidate.
     """
-    import heapq
-
     tokens, docs, cost = capacity
     order = np.lexsort((np.arange(len(lengths)), -lengths))
     cap = int(tokens)
-    classes: list[list] = [[] for _ in range(cap + 1)]  # heaps of (-residual cost, -residual documents, bin)
-    top_cost, top_docs = np.full(cap + 1, -1.0), np.full(cap + 1, -1.0)
+    classes: list[list] = [[] for _ in range(cap + 1)]  # sorted (residual cost, residual documents, bin)
+    low_cost, low_docs, top_cost = np.full(cap + 1, np.inf), np.full(cap + 1, np.inf), np.full(cap + 1, -1.0)
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     w = np.array(weights, float)
     residual = np.arange(cap + 1, dtype=float)
     n_bins = 0
+
+    def note(r):
+        own = classes[r]
+        low_cost[r], low_docs[r], top_cost[r] = (own[0][0], own[0][1], own[-1][0]) if own else (np.inf, np.inf, -1.0)
+
     for i in order.tolist():
         size, c = int(lengths[i]), float(costs[i])
         if size > cap or c > cost or docs < 1:
             raise ValueError("an item is larger than a bin")
-        fit = (top_docs[size:] >= 1) & (top_cost[size:] >= c)
+        fit = top_cost[size:] >= c
         if size < cap and fit.any():
-            if rule == "dot":
-                used = w[0] * (size / tokens) * (1 - residual[size:] / tokens) + w[1] * (1 / docs) * (1 - top_docs[size:] / docs) + w[2] * (c / cost) * (1 - top_cost[size:] / cost)
-                r = size + int(np.argmax(np.where(fit, used, -np.inf)))
-            else:
-                left = w[0] * ((residual[size:] - size) / tokens) ** 2 + w[1] * ((top_docs[size:] - 1) / docs) ** 2 + w[2] * ((top_cost[size:] - c) / cost) ** 2
-                r = size + int(np.argmin(np.where(fit, left, np.inf)))
-            rc, rd, b = heapq.heappop(classes[r])
-            rc, rd = -rc, -rd
-            top_cost[r], top_docs[r] = (-classes[r][0][0], -classes[r][0][1]) if classes[r] else (-1.0, -1.0)
+            rc, rd = low_cost[size:], low_docs[size:]
+            if (tight := np.flatnonzero(fit & (rc < c))).size:  # classes whose first bin lacks the cost
+                rc, rd = rc.copy(), rd.copy()
+                for k in tight.tolist():
+                    own = classes[size + k]
+                    rc[k], rd[k], _ = own[bisect.bisect_left(own, (c,))]
+            with np.errstate(invalid="ignore"):
+                if rule == "dot":
+                    used = w[0] * (size / tokens) * (1 - residual[size:] / tokens) + w[1] * (1 / docs) * (1 - rd / docs) + w[2] * (c / cost) * (1 - rc / cost)
+                    r = size + int(np.argmax(np.where(fit, used, -np.inf)))
+                else:
+                    left = w[0] * ((residual[size:] - size) / tokens) ** 2 + w[1] * ((rd - 1) / docs) ** 2 + w[2] * ((rc - c) / cost) ** 2
+                    r = size + int(np.argmin(np.where(fit, left, np.inf)))
+            rc, rd, b = classes[r].pop(bisect.bisect_left(classes[r], (c,)))
+            note(r)
         else:
             r, rc, rd, b = cap, float(cost), float(docs), n_bins
             n_bins += 1
         bins[i], offsets[i] = b, cap - r
         r, rc, rd = r - size, rc - c, rd - 1
         if r and rd >= 1:
-            heapq.heappush(classes[r], (-rc, -rd, b))
-            top_cost[r], top_docs[r] = -classes[r][0][0], -classes[r][0][1]
+            bisect.insort(classes[r], (rc, rd, b))
+            note(r)
     return bins, offsets
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, max_docs: int | None = None, max_cost: float | None = None, rule: str = "dot") -> DataFrame:
-    """Adds sequence_id and offset to pieces.
+    """Adds sequence_id and offset to pieces, which are stashed first.
 
-    Full pieces are sequences of their own. The others are dealt by hash to partitions that grow in number
-    with the data, none of which depends on one document or source, and each partition packs its own; a
-    sequence_id holds the partition's number, so they are unique. Rows are sorted first: a lost task packs alike again.
-    max_docs None: capacity (no constraint, as each piece has a token); max_cost None: capacity squared, likewise.
+    They are dealt out evenly, whatever their documents, to partitions of PIECES at most, as many as there have to be; each packs its
+    own, and its sequence_ids hold its number, so they are unique. Rows are sorted first: a lost task packs alike again. No
+    row is tokenised again for that. max_docs None: capacity, as each piece has a token; max_cost None: capacity squared, what a full piece
+    needs alone. Either then decides nothing beside the tokens, which is what fewest sequences ask for; lower ones do.
     """
     limits = (float(capacity), float(max_docs or capacity), float(max_cost or capacity**2))
+    items = stash(items)
 
     def run(batches):
         import pyarrow as pa
@@ -202,10 +218,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY, max_docs: int | None = None
         table = pa.Table.from_batches(batches).sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("length", "ascending"), ("ids_crc32", "ascending")])
         lengths = table.column("length").to_numpy()
         bins, offsets = best_fit(lengths, lengths.astype(float) ** 2, limits, rule)
-        table = table.append_column("sequence_id", pa.array(bins + (TaskContext.get().partitionId() << 40)))
+        table = table.append_column("sequence_id", pa.array(bins + (TaskContext.get().partitionId() << 32)))
         yield from table.append_column("offset", pa.array(offsets)).to_batches()
 
-    return items.repartition(F.xxhash64("doc_id", "piece")).mapInArrow(run, PACKED)
+    return items.repartition(items.count() // PIECES + 1).mapInArrow(run, PACKED)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, max_docs: int | None = None, max_cost: float | None = None, rule: str = "dot") -> DataFrame:
