@@ -1,13 +1,17 @@
 import hashlib
 import random
 import re
+import time
+import tracemalloc
+import unicodedata
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmol.llm import boosting, chat, html, langid, media, mixing, packing, pii, quality, sharding
+from quillmol.llm import boosting, chat, common, html, langid, media, mixing, packing, pii, quality, sharding
 
 DOCS = "doc_id long, text string, lang string, source string, shard int, size string"
 LONG = " ".join(f"word{i % 997}" for i in range(40000))
@@ -29,6 +33,10 @@ def test_all_keep_odd_rows_and_empty_tables(odd, empty):
         assert len(f(odd).collect()) == len(ODD), f
         assert f(empty).collect() == [], f
     assert packing.pack_documents(empty).collect() == []
+    pages = empty.selectExpr("doc_id as page_id", "text as url", "text as html", "lang as text")
+    assert html.main_text(pages).collect() == []
+    turns = empty.selectExpr("doc_id as pair_id", "shard as side", "doc_id as turn", "lang as role", "text", "source as prompt")
+    assert chat.preference_pairs(turns).collect() == []
 
 
 # --- chat ---
@@ -93,6 +101,45 @@ def test_best_fit_holds_every_constraint(rule):
     assert free.max() + 1 <= np.ceil(sizes.sum() / 1024) * 1.02 + 1
 
 
+@pytest.mark.parametrize("rule", ["dot", "norm"])
+def test_three_constraints_decide(rule):
+    """Each capacity alone, when it is low, shapes the bins; the search over classes opens no more bins than one over all bins."""
+    rng = np.random.default_rng(1)
+    sizes = np.concatenate([rng.integers(1, 30, 300), rng.integers(100, 700, 200)])
+    costs = sizes.astype(float) ** 2
+    w = (1.0, 0.25, 0.25)
+    for limits in ((1024, 1024, 1024.0**2), (1024, 5, 1024.0**2), (1024, 1024, 520_000.0), (1024, 4, 500_000.0)):
+        bins, offsets = packing.best_fit(sizes, costs, limits, rule)
+        own = [sizes[bins == b] for b in range(bins.max() + 1)]
+        assert all(o.sum() <= limits[0] and len(o) <= limits[1] and (o.astype(float) ** 2).sum() <= limits[2] for o in own)
+        assert any(len(o) == limits[1] for o in own) or limits[1] > 5
+        assert any((o.astype(float) ** 2).sum() > 0.9 * limits[2] for o in own) or limits[2] > 600_000
+        left = []  # every open bin is looked at
+        for i in np.lexsort((np.arange(len(sizes)), -sizes)):
+            need = (sizes[i], 1, costs[i])
+            fit = [b for b in left if all(r >= n for r, n in zip(b, need, strict=True))]
+            use = lambda b, need=need: sum(x * (n / c) * (1 - r / c) for x, n, r, c in zip(w, need, b, limits, strict=True))
+            rest = lambda b, need=need: sum(x * ((r - n) / c) ** 2 for x, n, r, c in zip(w, need, b, limits, strict=True))
+            if not fit:
+                left.append(list(limits))
+            b = left[-1] if not fit else max(fit, key=use) if rule == "dot" else min(fit, key=rest)
+            for j in range(3):
+                b[j] -= need[j]
+        assert len(own) <= 1.02 * len(left) + 1
+
+
+def test_packing_of_repeated_rows(spark, monkeypatch):
+    """Very many equal rows are dealt out, a bounded number to each task."""
+    monkeypatch.setattr(packing, "PIECES", 50)
+    docs = spark.createDataFrame([(None, None, 1)] * 400 + [(i, "some words here", 2) for i in range(100)], "doc_id long, text string, piece int")
+    rows = packing.pack_documents(docs).collect()
+    assert len(rows) == 500 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 500
+    tasks = {}
+    for r in rows:
+        tasks[r["sequence_id"] >> 32] = tasks.get(r["sequence_id"] >> 32, 0) + 1
+    assert len(tasks) == 11 and max(tasks.values()) <= 60
+
+
 # --- mixing ---
 
 
@@ -120,7 +167,36 @@ def test_mix(spark):
         assert all(r["taken"] <= 2 * r["size"] for r in own)
     blocks = mixing.mixed_blocks(docs)
     words = blocks.agg(F.sum(F.size(F.split("text", " ")))).first()[0]
-    assert abs(words - sum(r["taken"] for r in got)) <= 4 * mixing.BLOCK  # the tables differ in the order of documents, so in which last block is cut
+    assert words == sum(r["taken"] for r in got)
+
+
+def test_mix_keeps_repeated_rows(spark):
+    """Equal rows are documents each, with words or without."""
+    rows = [(1, "", "a")] * 3 + [(1, None, "a")] * 2 + [(None, None, None)] * 4 + [(2, "one two three", "a")] * 5 + [(2, "one two", "a"), (None, "x y", None)]
+    docs = spark.createDataFrame([(*r, 0, 1) for r in rows], "doc_id long, text string, source string, tie int, copies int")
+    got = mixing.mix(docs).collect()
+    assert sorted(str((r["doc_id"], r["source"], r["size"])) for r in got) == sorted(str((d, s, len((t or "").split()))) for d, t, s in rows)
+    assert sum(r["taken"] for r in got) == 24 + 4  # of targets 24.5 and 4
+    empty = docs.where("text is null")
+    assert sorted(r["taken"] for r in mixing.mix(empty).collect()) == [0] * 6 and mixing.mixed_blocks(empty).collect() == [] and mixing.mixed_blocks(docs.limit(0)).collect() == []
+
+
+def test_copies_of_a_row(spark, monkeypatch):
+    """A row of very many copies is split; slots stay gapless."""
+    monkeypatch.setattr(common, "COPIES", 10)
+    docs = spark.createDataFrame([(None, None)] * 95 + [(i, "x") for i in range(40)] * 2, "doc_id long, text string")
+    rows = sharding.shard_documents(docs, 3).collect()
+    assert len(rows) == 175 and all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows))) for s in range(3))
+
+
+def test_shared_folder(spark):
+    """Without a shared folder, a cluster's session is refused."""
+    from types import SimpleNamespace as Some
+
+    none = Some(sc=lambda: Some(getCheckpointDir=lambda: Some(isDefined=lambda: False)))
+    for master in ("local-cluster[3,2,1000]", "yarn", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            common.shared_dir(Some(conf={}, sparkContext=Some(_jsc=none, master=master)))
 
 
 def test_taken_is_what_the_blocks_hold(spark):
@@ -230,6 +306,49 @@ def test_pages(spark, nodes):
     assert all(r["n_chars"] == len(r["text"]) for r in got) and {r["text"] for r in got if r["page_id"] in (2, 3)} == {""}
 
 
+class Plain(HTMLParser):
+    """Blocks of text in an article, by the standard library's parser; for pages whose article has headings and paragraphs only."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.inside, self.blocks = False, [""]
+        self.feed(source)
+        self.close()
+        self.text = "\n\n".join(b for b in (re.sub(r"\s+", " ", x).strip() for x in self.blocks) if b)
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag in ("p", "h1", "h2", "h3", "li", "ul", "div", "blockquote"):
+            self.blocks.append("")
+        elif tag == "br":
+            self.handle_data(" ")
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        if tag in ("p", "h1", "h2", "h3", "li", "ul", "div", "blockquote"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        self.blocks[-1] += data if self.inside else ""
+
+
+def test_pages_of_the_table(spark):
+    """Every page of the table, whose main text is its article, against a plain reading of the article."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r["page_id"]: Plain(r["html"]).text for r in pages.collect()}
+    got = {r["page_id"]: r["text"] for r in html.main_text(pages).collect()}
+    assert len(want) >= 200 and got == want
+
+
+def test_time_of_hard_pages(nodes):
+    """Deep nesting, end tags without a start, barriers, open comments, quotes and attributes: linear."""
+    b = "<b>" * 50_000
+    for source in (b + "</i>" * 50_000, "<div>" * 50_000, f"<i><table>{b}" + "</i>" * 50_000, b + "<div></div>" * 20_000, f"<ul><li>{b}" + "<li>" * 30_000, "<!" * 200_000, '<a "' * 100_001, "<p " + "a" * 300_000 + ">x", "<!--" * 100_000, "<svg>" + "<b/>" * 50_000):
+        began = time.process_time()
+        html.extract([source], nodes)
+        assert time.process_time() - began < 8, source[:20]
+
+
 def test_open_heads_and_foreign_tags():
     """Heads without an end tag end at the body, at what can't be in a head, or at text; svg and math may close themselves."""
     said = lambda source: [b for _, b in html.Page(source).blocks]
@@ -259,6 +378,41 @@ def test_base_patterns_are_exact():
         assert sorted(pii.base_spans(text, patterns)) == sorted(want), text
 
 
+def test_base_patterns_on_runs():
+    """Chains of numbers, and local parts and hosts that fail before others that don't."""
+    patterns = pii.compiled()
+    for text in ("1.2.3.4.5.6.7.8.9", "1.2.3.400.5.6.7.8", "001.002.3.4x1.2.3", "x@y@z.com@w.de", "a@b. c@d.e-f.g.@h.i", "@@a@b.c", "a@b..c d@e.f.", "%+@x-.y", "4111-1111 1111-1111-4111111111111111", "+1 2 (3) 45678901 +", "1" * 40, "0.0.0.0256"):
+        want = []
+        for k, name in enumerate(pii.KINDS):
+            for m in re.finditer(pii.BASE[name], text):
+                digits = re.sub("[^0-9]", "", m[0])
+                if name == "ip" and max(map(int, m[0].split("."))) > 255 or name == "card" and not (14 <= len(digits) <= 19 and pii.luhn(digits)) or name == "phone" and not 10 <= len(digits) <= 15:
+                    continue
+                want.append((m.start(), k, m.end()))
+        assert sorted(pii.base_spans(text, patterns)) == sorted(want), text
+
+
+def test_time_of_hard_texts():
+    model, thresholds = pii.train()
+    patterns = pii.compiled()
+    n = 10**6
+    for text in ("1" * n, "a" * n + "@", "1." * (n // 2), "+1 " * (n // 3), "x at " * (n // 5), "a@b." * (n // 4), "+1" + " " * n, "4111 1111 1111 1111, " * (n // 21)):
+        began = time.process_time()
+        pii.find([text], model, thresholds, patterns)
+        assert time.process_time() - began < 8, text[:20]
+
+
+def test_recall_and_precision_of_candidates():
+    """On made examples not learned from: of spans that the fixed patterns miss, those found, and clean texts left alone."""
+    model, thresholds = pii.train()
+    rng, patterns = random.Random(1234), pii.compiled()
+    rows = [pii._example(rng) for _ in range(3000)]
+    found = pii.find([r[0] for r in rows], model, thresholds, patterns)
+    hit = [any(s < r[2] and e > r[1] for s, _, e in spans) for r, (_, spans) in zip(rows, found, strict=True) if r[4]]
+    false = [bool(spans) for r, (base, spans) in zip(rows, found, strict=True) if not r[4] and not base]
+    assert np.mean(hit) > 0.9 and np.mean(false) < 0.03, (np.mean(hit), np.mean(false))
+
+
 def test_more_spans_and_redaction():
     model, thresholds = pii.train()
     find = lambda t: pii.find([t], model, thresholds, pii.compiled())[0]
@@ -306,6 +460,45 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def brute_profile(text):
+    """The sum over n-grams, letter by letter."""
+    low = lambda c: c.lower() if len(c.lower()) == 1 else unicodedata.normalize("NFKD", c.lower())[0]
+    s = [0] + [0 if not c.isalpha() else ord(low(c)) for c in text] + [0]
+    s = [c for i, c in enumerate(s) if c or not i or s[i - 1]]
+    out = np.zeros(langid.DIM)
+    for i in range(len(s) - 2):
+        out += np.roll(langid.letter_vector(s[i]), 2).astype(int) * np.roll(langid.letter_vector(s[i + 1]), 1) * langid.letter_vector(s[i + 2])
+    return out
+
+
+def test_profiles_and_predictions_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(langid.Profiles, "WINDOW", 7)
+    monkeypatch.setattr(langid.Profiles, "CHUNK", 16)
+    monkeypatch.setattr(langid.Profiles, "LETTERS", 64)
+    monkeypatch.setattr(langid.Profiles, "GRAMS", 50)
+    texts = ["", "a", " 12 ", "The cat,  the CAT sat.", "Straße İstanbul été", "漢字かな交じり文", "x" * 40, "   lead and trail   "] + ["".join(random.Random(i).choice("abc dé. ") for _ in range(60)) for i in range(20)]
+    got = langid.Profiles().bundle(texts, 3)
+    assert all(np.array_equal(v, brute_profile(t)) for v, t in zip(got, texts, strict=True))
+    model = (["p", "q"], np.stack([v / np.linalg.norm(v) for v in (brute_profile(texts[3]), brute_profile(texts[10]))]).astype(np.float32))
+    rows = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in rows:
+        v = brute_profile(texts[r["doc_id"]])
+        cos = model[1] @ v / max(1e-9, np.linalg.norm(v))
+        assert (r["lang_pred"], r["score"]) == ("und", 0) if not v.any() else r["lang_pred"] == model[0][int(np.argmax(cos))] and abs(r["score"] - max(0, cos.max())) < 1e-5
+
+
+def test_memory_of_many_letters():
+    """Texts of very many n-grams take little more than their own size."""
+    rng = np.random.default_rng(0)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x4E00 + 20000, 8000))) for _ in range(32)]
+    profiles = langid.Profiles()
+    tracemalloc.start()
+    profiles.bundle(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+
+
 def test_no_letters(odd):
     assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(odd).collect() if r["doc_id"] in (1, 2, 3)} == {1: "und", 2: "und", 3: "und"}
 
