@@ -4,7 +4,7 @@ import re
 
 import corpus_pipeline
 from quillmol.llm import langid, pii
-from quillmol.llm.common import stash
+from quillmol.llm.common import held, stash
 
 
 def test_stages(spark):
@@ -79,3 +79,33 @@ def test_language_of_unspaced_texts(spark):
     odd = spark.createDataFrame([(10**6 + i, t, None, k, len(t)) for i, (k, t) in enumerate(texts.items())], "doc_id long, text string, lang string, source string, n_chars long")
     rows = dict(corpus_pipeline.STAGES)["language"](spark, docs.unionByName(odd), "").where(f"doc_id >= {10**6}").collect()
     assert {r["source"] for r in rows} == {"few", "unspaced"}
+
+
+ODD = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t", "en", "a", 3), (4, "One two three four five six.", "fr", "b", 27), (4, "One two three four five six.", "fr", "b", 27), (4, "Other words of the same id, mail a@b.de here.", "fr", "b", 1), (5, "Other words of the same id, mail a@b.de here.", "fr", "b", 1), *[(None, "no id here", "fr", None, 10)] * 40, (None, None, None, None, None), (7, " ".join(f"word{i % 997}" for i in range(40000)), "en", "a", 1)]
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows, clashing names and empty tables, in each stage but the first, which has tests of its own."""
+    table = spark.createDataFrame([(*r, 1, "x") for r in ODD], "doc_id long, text string, lang string, source string, n_chars long, size int, tie string")
+    stage = dict(corpus_pipeline.STAGES)
+    rows = lambda df: sorted(map(str, map(tuple, df.collect())))
+    own = [r[:5] for r in ODD]
+    kept = rows(stage["near_copies"](spark, table, ""))
+    assert len(kept) == 6 - 1 + 41 and sum("'no id here'" in r for r in kept) == 40 and sum(r.startswith("(4,") for r in kept) == 1
+    private = stage["private_data"](spark, table, "")
+    assert private.columns == corpus_pipeline.COLUMNS and rows(private.select("doc_id", "text")) == sorted(str((d, t and t.replace("a@b.de", "[EMAIL]"))) for d, t, *_ in own)
+    mixed = stage["mixture"](spark, table, "")
+    got = rows(mixed)
+    assert mixed.columns == corpus_pipeline.COLUMNS and set(got) <= set(map(str, own)) and sum(r.startswith(("(1,", "(2,", "(3,")) for r in got) == 3
+    assert 41 <= sum(r.startswith("(None") for r in got) <= 81  # not all or none
+    packed = stage["packing"](spark, table, "").collect()
+    assert sum(r["piece"] == 0 for r in packed) == len(ODD)
+    for name in ("near_copies", "private_data", "mixture", "packing"):
+        assert stage[name](spark, table.limit(0), "").collect() == []
+
+
+def test_run_leaves_little_behind(spark):
+    """Tables of the stages go; the last one that is read stays."""
+    before = held()
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 100 and len(held() - before) <= 2
