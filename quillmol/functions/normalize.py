@@ -9,13 +9,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Multi-character atoms and stereo marks, and the one character that stands for each.
-_REPLACEMENTS = (
-    "@@ ¡ @TH1 ¢ @TH2 £ @AL1 ¤ @AL2 ¥ @SP1 ¦ @SP2 § @SP3 ¨ @TB © @OH ª Cl L Br R Si G Se E se e As D as d Te T te t Ge « Ga ¬ "
-    "Na Y Ca Ω Mg M Fe X Zn Z Cu Q Mn J Co K Ni Θ Al A Li Λ Ag ! Au $ Pt & Pd ^ Cr ~ Ti ` Sn ; Pb : Hg ? Cd < Ba > Sr { Bi } Sb | "
-    "In ® Tl ¯ Be ° Ra ± Ru ² Rh ³ Os ´ Ir µ Mo ¶ Nb ¹ Ta º Re » Tc ¼ W · V ¸ U Ë "
-    "La ½ Ce ¾ Pr ¿ Nd À Sm Á Eu Â Gd Ã Tb Ä Dy Å Ho Æ Er Ç Tm È Yb É Lu Ê"
-).split()
-REPLACEMENTS = dict(zip(_REPLACEMENTS[::2], _REPLACEMENTS[1::2], strict=True))
+REPLACEMENTS = {
+    "@@": "¡", "@TH1": "¢", "@TH2": "£", "@AL1": "¤", "@AL2": "¥", "@SP1": "¦", "@SP2": "§", "@SP3": "¨", "@TB": "©", "@OH": "ª", "Cl": "L", "Br": "R", "Si": "G", "Se": "E",
+    "se": "e", "As": "D", "as": "d", "Te": "T", "te": "t", "Ge": "«", "Ga": "¬", "Na": "Y", "Ca": "Ω", "Mg": "M", "Fe": "X", "Zn": "Z", "Cu": "Q", "Mn": "J",
+    "Co": "K", "Ni": "Θ", "Al": "A", "Li": "Λ", "Ag": "!", "Au": "$", "Pt": "&", "Pd": "^", "Cr": "~", "Ti": "`", "Sn": ";", "Pb": ":", "Hg": "?", "Cd": "<",
+    "Ba": ">", "Sr": "{", "Bi": "}", "Sb": "|", "In": "®", "Tl": "¯", "Be": "°", "Ra": "±", "Ru": "²", "Rh": "³", "Os": "´", "Ir": "µ", "Mo": "¶", "Nb": "¹",
+    "Ta": "º", "Re": "»", "Tc": "¼", "W": "·", "V": "¸", "U": "Ë", "La": "½", "Ce": "¾", "Pr": "¿", "Nd": "À", "Sm": "Á", "Eu": "Â", "Gd": "Ã", "Tb": "Ä",
+    "Dy": "Å", "Ho": "Æ", "Er": "Ç", "Tm": "È", "Yb": "É", "Lu": "Ê",
+}
 RESTORED = {v: k for k, v in REPLACEMENTS.items()}
 # InChI layers and their letters.
 INCHI_LAYERS = {"formula": "", "connections": "c", "hydrogens": "h", "charge": "q", "protons": "p", "stereo_db": "b", "stereo_tet": "t", "stereo_parity": "m", "stereo_type": "s", "isotope": "i", "fixedH": "f", "reconnected": "r"}

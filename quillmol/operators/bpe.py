@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,22 +27,26 @@ def read_merges(spark: SparkSession, path: str, first: int | None = None) -> lis
 
 
 def merge_all(tokens: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """One left-to-right pass for each merge, in rank order; ranks whose pair is absent are passed over."""
-    done = -1
-    while len(tokens) > 1:
-        now = min((r for p in zip(tokens, tokens[1:], strict=False) if (r := ranks.get(p, -1)) > done), default=None)
-        if now is None:
-            break
-        out, i = [], 0
-        while i < len(tokens):
-            if i + 1 < len(tokens) and ranks.get((tokens[i], tokens[i + 1])) == now:
-                out.append(tokens[i] + tokens[i + 1])
-                i += 2
-            else:
-                out.append(tokens[i])
-                i += 1
-        tokens, done = out, now
-    return tokens
+    """One left-to-right pass for each merge, in rank order. A heap holds the places of adjacent pairs by rank; a pair that a pass makes is of that pass only if
+    its rank is later, so what was left behind stays."""
+    n = len(tokens)
+    after, before = [*range(1, n), -1], list(range(-1, n - 1))
+    parts: list = list(tokens)
+    heap = [(r, i) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        j = after[i]
+        if parts[i] is None or j < 0 or ranks.get((parts[i], parts[j])) != rank:
+            continue  # merged meanwhile
+        parts[i], parts[j] = parts[i] + parts[j], None
+        after[i] = after[j]
+        if after[i] >= 0:
+            before[after[i]] = i
+        for k in (before[i], i):
+            if k >= 0 and after[k] >= 0 and (r := ranks.get((parts[k], parts[after[k]]), -1)) > rank:
+                heapq.heappush(heap, (r, k))
+    return [p for p in parts if p is not None]
 
 
 def bpe(s: Column, merges: list[tuple[str, str]]) -> Column:

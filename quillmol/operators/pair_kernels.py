@@ -167,10 +167,9 @@ def ncd(a: Column, b: Column) -> Column:
 
 def smifp(s: Column, chars: list[str], binary: bool = False) -> Column:
     """Counts, or presence, of each listed character; a listed pair of characters never matches one."""
-    own = F.split(s, "")
-
     def count(c: str) -> Column:
-        return F.size(F.filter(own, lambda x: x == F.lit(c))).cast("double")
+        left = F.length(F.replace(s, F.lit(c), F.lit("")))
+        return (F.length(s) - (left if len(c) == 1 else F.length(s))).cast("double")
 
     counts = F.array(*map(count, chars))
     return F.transform(counts, lambda x: F.when(x > 0, 1.0).otherwise(0.0)) if binary else counts

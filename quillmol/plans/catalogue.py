@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillmol.functions import normalize as Z
+from quillmol.functions import sql
 from quillmol.functions import tokens as K
 from quillmol.operators import bpe as B
 from quillmol.operators import pair_kernels as P
 from quillmol.operators import token_kernels as N
-from quillmol.plans import engine, registry, variants
+from quillmol.plans import batch, engine, registry, variants
+from quillmol.sources import readers
 
-# A library of 19 molecules (two of them are the templates), strings with stereo marks, InChI and SELFIES strings, merges.
+# A library of 19 molecules (two of them are the templates), InChI and SELFIES strings. STRINGS and MERGES are our own.
 LIBRARY = """CC(=O)C1=CC=C(Br)C(N)=C1 0054-0090
 NC1=CC2=NON=C2C=C1 0061-0013
 OCN1C=NC=N1 0062-0039
@@ -43,6 +48,51 @@ def _library(spark, names=None):
     return spark.createDataFrame([r for r in rows if names is None or r[1] in names], "pos long, name string, s string")
 
 
+# Molecule files that the scan queries write and read, and the molecules in them.
+FILES = {
+    "scan_smi": ("a.smi", "CCO ethanol\nCCC\n\n# note\nCCN x\nCCS x\nCCP\n", {}, [(0, "ethanol", "CCO"), (1, "mol_1", "CCC"), (4, "x", "CCN"), (5, "x_1", "CCS"), (6, "mol_2", "CCP")]),
+    "scan_csv": ("a.csv", "ID,SMILES\np1,CCO\np2,CCC\np1,CCN\n", {"smiles_col": "SMILES", "name_col": "ID"}, [(1, "p1", "CCO"), (2, "p2", "CCC"), (3, "p1_1", "CCN")]),
+    "scan_tsv": ("a.tsv", "s\tn\nCCO\tone two\nCCC\tthree\n", {}, [(1, "one two", "CCO"), (2, "three", "CCC")]),
+}
+
+
+def _scratch(spark):
+    """A new folder that all executors share: below spark.checkpoint.dir, or where it is unset and all is local a temporary one."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local-cluster") and spark.sparkContext.master.startswith("local"):
+        top = tempfile.gettempdir()
+    if not top:
+        raise ValueError("spark.checkpoint.dir is unset")
+    return f"{top.rstrip('/')}/quillmol-files-{uuid.uuid4().hex}"
+
+
+def _put(spark, path, body):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+    out.write(bytearray(body.encode()))
+    out.close()
+    return path
+
+
+def _scan(spark, name):
+    file, body, options, _ = FILES[name]
+    return readers.read_molecules(spark, _put(spark, f"{_scratch(spark)}/{file}", body), **options).select("pos", "name", "s")
+
+
+def _scan_directory(spark):
+    folder = _scratch(spark)
+    for file, body in (("m1.smi", "CCO"), ("m2.smi", "CCC propane\nCCCC butane"), ("m3.smi", "CCN m1"), ("m4.txt", "CCS other"), ("m5.smi", "")):
+        _put(spark, f"{folder}/{file}", body)
+    return readers.read_molecules(spark, folder).select("pos", "name", "s")
+
+
+def _with_functions(spark, sf_dir):
+    sql.register(spark)
+    p = _parts(spark, sf_dir)
+    return p.alias("a").crossJoin(F.broadcast(p.alias("b"))).selectExpr("a.name as lib_name", "b.name as tmpl_name", "round(jaro(a.s, b.s), 6) as jaro", "damerau_levenshtein(a.s, b.s) as edits")  # the distinct part names
+
+
 def _strings(spark, rows):
     return spark.createDataFrame([(i, f"m{i}", s) for i, s in enumerate(rows)], "pos long, name string, s string")
 
@@ -118,6 +168,23 @@ select lib.name as lib_name, tmpl.name as tmpl_name, round(coalesce(dot / (ln_.n
 from lib cross join tmpl left join d on a = lib.name and b = tmpl.name left join ln_ on ln_.name = lib.name left join tn_ on tn_.name = tmpl.name"""
 
 
+_ONE = "case h when 0 then 1 + k * (z - 1) when 1 then z when 2 then 2 else 0 end"
+_TWO = "case h when 0 then 1 + 4 * (z - 1) + 6 * (z - 1) * (z - 1) when 1 then z + 3 * (z - 1) * (2 + z - 2) when 2 then 4 + 2 * (z - 2) * 2 + (z - 2) * (z - 2) + 2 * 2 * (z - 1) when 3 then 6 + 6 * (z - 2) when 4 then 6 else 0 end"
+
+
+def _mismatch_sql(lib: str, tmpl: str, k: int, weight: str, score: str = "d::double / (p + q - d)") -> str:
+    """weight: SQL of what two k-mers at distance h share, of z letters."""
+    ham = " + ".join(f"(substr(u.tok, {i}, 1) <> substr(v.tok, {i}, 1))::int" for i in range(1, k + 1))
+    w = weight.replace("k *", f"{k} *")
+    side = lambda x: f"select name, tok, count(*)::double as n from (select name, unnest({_kmers('s', k)}) as tok from {x}) group by all"
+    sums = lambda x, y, on: f"select u.name as a, v.name as b, {ham} as h, sum(u.n * v.n) as w from {x} u join {y} v on {on} group by all"
+    return f"""with lib as ({lib}), tmpl as ({tmpl}), lc as ({side('lib')}), tc as ({side('tmpl')}),
+dd as ({sums('lc', 'tc', 'true')}), pp as ({sums('lc', 'lc', 'u.name = v.name')}), qq as ({sums('tc', 'tc', 'u.name = v.name')}),
+x as (select l.name as a, t.name as b, l.s as ls, t.s as ts, len(list_distinct(string_split(l.s || t.s, '')))::double as z from lib l cross join tmpl t),
+y as (select x.*, (select sum(w * {w}) from dd where dd.a = x.a and dd.b = x.b) as d, (select sum(w * {w}) from pp where pp.a = x.a) as p, (select sum(w * {w}) from qq where qq.a = x.b) as q from x)
+select a as lib_name, b as tmpl_name, round(case when length(ls) < {k} and length(ts) < {k} then (ls = ts)::int::double when length(ls) < {k} or length(ts) < {k} then 0.0 else {score} end, 6) as score from y"""
+
+
 def _pair_sql(side: str, score: str, extra: str = "") -> str:
     return f"with recursive p as ({side}){extra} select a.name as lib_name, b.name as tmpl_name, round(({score})::double, 6) as score from p a cross join p b"
 
@@ -197,15 +264,15 @@ def _register():
     _add("sim_substring_raw", mol("substring", normalized=False), _overlap_sql(ul, ut, _subs("s"), "dot"))
     _add("part_substring", part("substring"), _overlap_sql(_PARTS, _PARTS, _subs("s"), sub))
     for m, k in (("mismatch", 4), ("mismatch3", 3), ("mismatch5", 5)):
-        ham = "(" + " + ".join(f"(substr(u.tok, {i}, 1) <> substr(v.tok, {i}, 1))::int" for i in range(1, k + 1)) + ")"
-        dot = lambda a, b, ham=ham, k=k: f"(select coalesce(sum(u.n * v.n * case {ham} when 0 then 1 + {k} * (z - 1) when 1 then z when 2 then 2 else 0 end), 0) from {a} u, {b} v where u.name = {'x.a' if a == 'lc' else 'x.b'} and v.name = {'x.b' if b == 'tc' else 'x.a'})"
-        sql = f"""with lib as ({ul}), tmpl as ({ut}),
-lc as (select name, tok, count(*) as n from (select name, unnest({_kmers('s', k)}) as tok from lib) group by all), tc as (select name, tok, count(*) as n from (select name, unnest({_kmers('s', k)}) as tok from tmpl) group by all),
-x as (select l.name as a, t.name as b, len(list_distinct(string_split(l.s || t.s, ''))) as z from lib l cross join tmpl t),
-y as (select a, b, {dot('lc', 'tc')} as d, {dot('lc', 'lc')} as p, {dot('tc', 'tc')} as q from x)
-select a as lib_name, b as tmpl_name, round(d::double / (p + q - d), 6) as score from y"""
-        _add(f"sim_{m}", mol(m), sql)
-        _add(f"part_{m}", part(m))
+        _add(f"sim_{m}", mol(m), _mismatch_sql(ul, ut, k, _ONE))
+        _add(f"part_{m}", part(m), _mismatch_sql(_PARTS, _PARTS, k, _ONE))
+    renamed = lambda df: _scored(df.withColumnsRenamed({"l_name": "lib_name", "t_name": "tmpl_name"}))
+    plain = lambda sp: (lib(sp).drop("pos"), tmpl(sp).drop("pos"))
+    _add("sim_mismatch_m2", lambda sp, d: renamed(N.mismatch(*plain(sp), k=4, m=2)), _mismatch_sql(ul, ut, 4, _TWO))
+    _add("sim_mismatch_m0", lambda sp, d: renamed(N.mismatch(*plain(sp), m=0)), _overlap_sql(ul, ut, _kmers("s", 4), _spectrum(4, "tanimoto")))
+    _add("sim_mismatch_rings", lambda sp, d: renamed(N.mismatch(*plain(sp), rings=True, coefficient="dice")), _mismatch_sql(pl, pt, 4, _ONE, "2.0 * d / (p + q)"))
+    neighbours = f"flatten(list_transform({_kmers('s', 3)}, lambda w: list_distinct(list_append(flatten(list_transform(range(1, 4), lambda i: list_transform(['C', 'N', 'O'], lambda c: substr(w, 1, i - 1) || c || substr(w, i + 1)))), w))))"
+    _add("sim_mismatch_alphabet", lambda sp, d: renamed(N.mismatch(*plain(sp), k=3, alphabet="CNO")), _overlap_sql(ul, ut, neighbours, _spectrum(3, "tanimoto")))
     # character fingerprints
     for name, chars in (("smifp", P.SMIFP34), ("smifp38", P.SMIFP38)):
         za, zb = _counts_sql("a.s", chars), _counts_sql("b.s", chars)
@@ -246,6 +313,20 @@ select a as lib_name, b as tmpl_name, round(d::double / (p + q - d), 6) as score
             _add(f"sim_tok_{family}_tfidf_{m}{n}", lambda sp, d, left=left, right=right, k=f"tok-{family}_tfidf{m}{n}": _scored(engine.cross_similarity(left(sp), right(sp), k)), _tfidf_sql(lsql, tsql, toks))
     words = _all("lower(" + _text(_kmers("s", 4)) + ")", "[^ ]+")
     _add("sim_lingo_tfidf", lambda sp, d: _scored(N.tfidf(lib(sp).drop("pos"), tmpl(sp).drop("pos"), K.lingo_words).withColumnsRenamed({"l_name": "lib_name", "t_name": "tmpl_name"})), _tfidf_sql(pl, pt, words))
+    pair_words = _all("lower(" + _text(_kmers("s", 4)) + ")", "[^ ]+")
+    _add("sim_lingo_tfidf_pair", lambda sp, d: renamed(N.tfidf_of_pairs(*plain(sp), K.lingo_words)), f"""
+with lib as ({pl}), tmpl as ({pt}), l as (select name, tok, 1 + ln(count(*)) as w from (select name, unnest({pair_words}) as tok from lib) group by all), t as (select name, tok, 1 + ln(count(*)) as w from (select name, unnest({pair_words}) as tok from tmpl) group by all),
+x as (select a.name as a, b.name as b, l.tok, l.w, exists(select 1 from t where t.name = b.name and t.tok = l.tok) as both_ from lib a cross join tmpl b join l on l.name = a.name),
+y as (select a.name as a, b.name as b, t.tok, t.w, exists(select 1 from l where l.name = a.name and l.tok = t.tok) as both_ from lib a cross join tmpl b join t on t.name = b.name),
+p as (select a, b, sum(pow(w * case when both_ then 1.0 else ln(1.5) + 1 end, 2)) as n from x group by all), q as (select a, b, sum(pow(w * case when both_ then 1.0 else ln(1.5) + 1 end, 2)) as n from y group by all),
+d as (select x.a, x.b, sum(x.w * y.w) as dot from x join y on x.a = y.a and x.b = y.b and x.tok = y.tok group by all)
+select p.a as lib_name, p.b as tmpl_name, round(coalesce(dot, 0.0) / sqrt(p.n * q.n), 6) as score from p join q on p.a = q.a and p.b = q.b left join d on d.a = p.a and d.b = p.b""")
+    _add("lingo_vectors_counts", lambda sp, d: N.word_vectors(lib(sp), K.lingo_words, use_idf=False), f"select name, tok, count(*)::double as w from (select name, unnest({pair_words}) as tok from ({pl})) group by all")
+    _add("lingo_vectors", lambda sp, d: N.word_vectors(lib(sp), K.lingo_words).withColumn("w", F.round("w", 6)), f"""with c as (select name, tok, count(*) as n from (select name, unnest({pair_words}) as tok from ({pl})) group by all),
+i as (select tok, ln((1.0 + (select count(*) from ({pl}))) / (1.0 + count(*))) + 1.0 as idf from c group by tok), w as (select name, c.tok, (1 + ln(n)) * idf as w from c join i on c.tok = i.tok)
+select name, tok, round(w / sqrt(sum(w * w) over (partition by name)), 6) as w from w""")
+    grams12 = _grams(_all(_pp("s"), K.CHEMICAL_PATTERN), 1, 2)
+    _add("sim_tok_smiles_tfidf_legacy", mol("tok-smiles_tfidf44", legacy_batch=True), _tfidf_sql(_LIB, _TMPL, grams12))
     # matrices
     _add("golden_lingo_wide", lambda sp, d: engine.wide_scores(engine.cross_similarity(lib(sp), tmpl(sp), "lingo"), lib(sp), TEMPLATES),
          f"with g as ({_overlap_sql(pl, pt, _kmers('s', 4), _LINGO_SCORE, '{}')}) select pos::bigint as pos, name as \"Name\", " + ", ".join(f"printf('%.5f', max(score) filter (tmpl_name = '{t}')) as \"Similarity_{t}\"" for t in TEMPLATES) + f" from g join ({_LIB}) l on l.name = lib_name group by pos, name")
@@ -253,8 +334,16 @@ select a as lib_name, b as tmpl_name, round(d::double / (p + q - d), 6) as score
     _add("top_parts", lambda sp, d: engine.top_k(_scored(engine.cross_similarity(_parts(sp, d), _parts(sp, d), "lingo", pre=False)), 3).select("lib_name", "tmpl_name", "score", "rank"),
          f"select * from (select *, row_number() over (partition by tmpl_name order by score desc, lib_name) as rank from ({_overlap_sql(ringed, ringed, _kmers('s', 4), _LINGO_SCORE)})) where rank <= 3")
     _add("variants_lingo", lambda sp, d: variants.run_variants(lib(sp), tmpl(sp), ["lingo", "edit"]).withColumn("score", F.round("score", 6)))
+    _add("dry_jobs", lambda sp, d: sp.createDataFrame([(v.name, n) for v, n in batch.jobs("fingerprints") if not v.needs], "variant string, name string"),
+         "select v.variant, f.name from (values ('smiles__replaced'), ('smiles__replaced_shuffled')) v(variant) cross join (values " + ", ".join(f"('{n}')" for n in registry.FINGERPRINTS) + ") f(name)")
+    # files and SQL functions
+    shown = lambda rows: "select pos::bigint as pos, name, s from (values " + ", ".join(f"({i}, {_q(n)}, {_q(s)})" for i, n, s in rows) + ") v(pos, name, s)"
+    for name, (_, _, _, rows) in FILES.items():
+        _add(name, lambda sp, d, name=name: _scan(sp, name), shown(rows))
+    _add("scan_smi_dir", lambda sp, d: _scan_directory(sp), shown([(0, "m1", "CCN"), (1, "propane", "CCC")]))
+    _add("sql_functions", _with_functions, f"with p as ({_PARTS}) select a.name as lib_name, b.name as tmpl_name, round(jaro_similarity(a.s, b.s), 6) as jaro, damerau_levenshtein(a.s, b.s)::int as edits from p a cross join p b")
     # merges
-    _add("bpe_vocab", lambda sp, d: B.bpe_vocabulary(sp, MERGES))
+    _add("bpe_vocab", lambda sp, d: B.bpe_vocabulary(sp, MERGES), "select rank::int as rank, a, b from (values " + ", ".join(f"({i}, {_q(a)}, {_q(b)})" for i, (a, b) in enumerate(MERGES)) + ") v(rank, a, b)")
     _add("tok_bpe16", lambda sp, d: lib(sp).select("name", _join(B.bpe(F.col("s"), MERGES)).alias("v")))
     for kind in ("count", "binary"):
         _add(f"fp_bpe16_{kind}", lambda sp, d, kind=kind: engine.fingerprints(lib(sp), f"bpe16_{kind}", merges=MERGES).select("name", F.array_join(F.transform("fp", lambda x: F.format_string("%.0f", x)), ",").alias("v")))

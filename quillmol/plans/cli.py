@@ -83,8 +83,11 @@ def main(argv: list[str] | None = None) -> int:
     for m in registry.METHODS if a.all_methods else [a.method]:
         began, status = time.time(), "ok"
         kw = ({"vocab_path": a.vocab} if "bpe" in m else {}) | ({} if "tfidf" in m else {"pre": pre})
+        out = writers.output_name(a.output.removesuffix(".csv"), m) if a.all_methods else a.output
+        if not a.overwrite and writers.exists(spark, out):
+            log.append(("", m, "skip_exists", None))
+            continue
         try:
-            out = writers.output_name(a.output.removesuffix(".csv"), m) if a.all_methods else a.output
             writers.write_wide_csv(engine.wide_scores(engine.cross_similarity(lib, tmpl, m, **kw), lib, names), out, a.overwrite)
         except (ImportError, FileNotFoundError) as e:
             if not a.all_methods:
@@ -92,6 +95,8 @@ def main(argv: list[str] | None = None) -> int:
                 return 1
             status = "skip"
         log.append(("", m, status, time.time() - began))
+        if a.verbose:
+            print(m, status, f"{log[-1][-1]:.1f} s", file=sys.stderr)
     if a.timing_log:
         writers.write_timings(spark.createDataFrame(log, "variant string, method string, status string, elapsed_s double"), a.timing_log)
     return 0

@@ -18,13 +18,12 @@ def cross_similarity(lib: DataFrame, tmpl: DataFrame, method: str = "lingo", **k
 
 
 def self_similarity(mols: DataFrame, method: str = "lingo", **kw) -> DataFrame:
-    """Every ordered pair of one table: computed for pos < pos, mirrored, and 1 on the diagonal."""
-    at = mols.select("name", "pos")
-    scored = cross_similarity(mols, mols, method, **kw)
-    placed = scored.join(at.toDF("lib_name", "_i"), "lib_name").join(at.toDF("tmpl_name", "_j"), "tmpl_name").where("_i < _j").drop("_i", "_j")
-    flipped = placed.select(F.col("tmpl_name").alias("lib_name"), F.col("lib_name").alias("tmpl_name"), "method", "score")
+    """Every ordered pair of one table: computed for pos < pos, mirrored, and 1 on the diagonal. Kernels that join pairs take the order in their join."""
+    scored = registry.method(method)(mols.select("name", "s", "pos"), mols.select("name", "s", "pos"), **kw).where("l_pos < t_pos")
+    upper = scored.select(F.col("l_name").alias("lib_name"), F.col("t_name").alias("tmpl_name"), F.lit(method).alias("method"), "score")
+    lower = upper.select(F.col("tmpl_name").alias("lib_name"), F.col("lib_name").alias("tmpl_name"), "method", "score")
     own = mols.select(F.col("name").alias("lib_name"), F.col("name").alias("tmpl_name"), F.lit(method).alias("method"), F.lit(1.0).alias("score"))
-    return placed.select(flipped.columns).unionByName(flipped).unionByName(own)
+    return upper.unionByName(lower).unionByName(own)
 
 
 def fingerprints(mols: DataFrame, kind: str = "smifp34", pre: bool = True, vocab_path: str | None = None, merges=None) -> DataFrame:

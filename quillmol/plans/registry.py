@@ -37,14 +37,19 @@ def _by_fingerprint(compare, chars):
 
 
 def _tfidf(family, low, high):
-    def build(lib, tmpl, pre=False, model=None, corpus=None):
+    def build(lib, tmpl, pre=False, model=None, corpus=None, legacy_batch=False):
+        """legacy_batch: the older batch form, 1- and 2-grams of replaced strings under every name."""
+        if legacy_batch:
+            return N.tfidf(_prepared(lib, True), _prepared(tmpl, True), lambda s: K.ngrams(K.TOKENISERS[family](s), 1, 2), model, corpus)
         return N.tfidf(lib, tmpl, lambda s: K.ngrams(K.TOKENISERS[family](s), low, high), model, corpus)
 
     return build
 
 
 def _bpe_tfidf(first, low, high):
-    def build(lib, tmpl, pre=False, vocab_path=None, merges=None, model=None, corpus=None):
+    def build(lib, tmpl, pre=False, vocab_path=None, merges=None, model=None, corpus=None, legacy_batch=False):
+        if legacy_batch:
+            return _bpe_tfidf(None, 1, 2)(_prepared(lib, True), _prepared(tmpl, True), False, vocab_path, merges, model, corpus)
         if merges is None:
             if vocab_path is None:
                 raise FileNotFoundError("this method needs a BPE vocabulary: vocab_path")

@@ -48,6 +48,8 @@ VARIANTS = [
     *[Variant(f"inchi_{layer}", (), ("rdkit",)) for layer in ("all", "formula", "connections", "hydrogens")],
     Variant("selfies", (), ("selfies",)),
 ]
+#: The variants that fingerprints are made of.
+FINGERPRINT_VARIANTS = [v for v in VARIANTS if v.representation == "selfies" or v.changes in (("replaced",), ("canonical", "replaced"), ("replaced", "shuffled"))]
 
 
 def run_variants(lib: DataFrame, tmpl: DataFrame, methods: list[str], variants: list[Variant] | None = None) -> DataFrame:

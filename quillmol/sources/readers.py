@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: File names that part a directory's files into runs, each numbered in a task.
+SPLITS = 255
+
+
 def column(arg: str | int | None):
     """"2" is a place, "ID" a header name."""
     return int(arg) if isinstance(arg, str) and arg.isdigit() else arg
@@ -18,17 +22,30 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def _in_order(lines: DataFrame) -> DataFrame:
-    """Adds pos, the row's number in file order, from partition offsets: the scan of one file yields its splits in order."""
-    marked = lines.withColumn("_id", F.monotonically_increasing_id())
-    counts = marked.groupBy(F.shiftright("_id", 33).alias("_p")).agg(F.count(F.lit(1)).alias("_k")).orderBy("_p").collect()  # a row per split
-    offsets, total = [], 0
-    for r in counts:
-        offsets.append((r["_p"], total))
-        total += r["_k"]
-    table = lines.sparkSession.createDataFrame(offsets, "_p long, _o long")
-    low = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return marked.withColumn("_p", F.shiftright("_id", 33)).join(F.broadcast(table), "_p").withColumn("pos", F.col("_o") + low).drop("_p", "_o", "_id")
+def _numbered(rows: DataFrame, bucket: str, order: str, name: str) -> DataFrame:
+    """Adds name, the row's number from 0 in order of (bucket, order). bucket depends on the row alone, so no plan's partitions matter: ranks are made
+    in each bucket and the counts of the buckets before, a row each, are added."""
+    counts = rows.groupBy(F.col(bucket).alias("_b")).agg(F.count(F.lit(1)).alias("_k"))
+    before = F.sum("_k").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_b", F.coalesce(before, F.lit(0).cast("long")).alias("_o"))
+    rank = F.row_number().over(Window.partitionBy(bucket).orderBy(order)) - 1
+    return rows.withColumn("_r", rank.cast("long")).join(F.broadcast(offsets), F.col(bucket) == F.col("_b")).withColumn(name, F.col("_o") + F.col("_r")).drop("_b", "_o", "_r")  # offsets: a row for each split of the file
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """value and pos, the line's number, and the split of the file that it is in: a split's lines are read in order."""
+    text = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_split"))
+    return _numbered(text.withColumn("_at", F.monotonically_increasing_id()), "_split", "_at", "pos").drop("_at")
+
+
+def read_first(spark: SparkSession, path: str) -> DataFrame:
+    """name and s of one whole file: its first word is the string, its second the name, else the file's stem."""
+    return _first_words(spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))).select("name", "s")
+
+
+def _first_words(files: DataFrame) -> DataFrame:
+    words = F.split(_strip(F.col("value")), r"\s+")
+    return files.select("file", words[0].alias("s"), F.coalesce(F.get(words, F.lit(1)), F.regexp_replace("file", r"\.[^.]*$", "")).alias("name"))
 
 
 def read_file(spark: SparkSession, path: str, smiles_col: str | int | None = None, name_col: str | int | None = None, delimiter: str | None = None, header: bool = True, skip_errors: bool = True) -> DataFrame:
@@ -41,7 +58,7 @@ def read_file(spark: SparkSession, path: str, smiles_col: str | int | None = Non
         header = False
     smiles_col, name_col = column(0 if smiles_col is None else smiles_col), column(1 if name_col is None else name_col)
     cut = (lambda c: F.split(c, re.escape(delimiter))) if delimiter else (lambda c: F.split(c, r"\s+"))
-    lines = _in_order(spark.read.text(path))
+    lines = _lines(spark, path)
     if header:
         first = lines.where("pos = 0").select(cut(_strip(F.col("value"))).alias("v")).collect()
         names = first[0]["v"] if first else []
@@ -55,8 +72,8 @@ def read_file(spark: SparkSession, path: str, smiles_col: str | int | None = Non
     rows = lines.withColumn("value", _strip(F.col("value"))).where("value <> '' and not startswith(value, '#')").withColumn("v", cut(F.col("value")))
     if not skip_errors and rows.where(F.size("v") <= smiles_col).limit(1).count():
         raise ValueError("a row has no string column")
-    rows = rows.where(F.size("v") > smiles_col).select("pos", _strip(F.get("v", F.lit(smiles_col))).alias("s"), _strip(F.get("v", F.lit(name_col))).alias("name")).where("s <> ''")
-    unnamed = _in_order(rows.where("name is null").select("pos", "s").orderBy("pos").withColumnRenamed("pos", "_line")).select(F.col("_line").alias("pos"), "s", F.format_string("mol_%d", F.col("pos") + 1).alias("name"))
+    rows = rows.where(F.size("v") > smiles_col).select("pos", "_split", _strip(F.get("v", F.lit(smiles_col))).alias("s"), _strip(F.get("v", F.lit(name_col))).alias("name")).where("s <> ''")
+    unnamed = _numbered(rows.where("name is null"), "_split", "pos", "_i").select("pos", "s", F.format_string("mol_%d", F.col("_i") + 1).alias("name"))
     return unique_names(rows.where("name is not null").select("pos", "s", "name").unionByName(unnamed))
 
 
@@ -86,10 +103,10 @@ def read_directory(spark: SparkSession, path: str) -> DataFrame:
     """The first molecule of every .smi file of a directory: its second word is its name, else the file's stem. Of one name the last file's string stays, at the first
     one's place."""
     files = spark.read.option("pathGlobFilter", "*.smi").text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
-    words = F.split(_strip(F.col("value")), r"\s+")
-    rows = files.select("file", words[0].alias("s"), F.coalesce(F.get(words, F.lit(1)), F.regexp_replace("file", r"\.smi$", "")).alias("name")).where("s <> ''")
-    kept = rows.groupBy("name").agg(F.max_by("s", "file").alias("s"), F.min("file").alias("file"))
-    return _in_order(kept.orderBy("file")).select("pos", "name", "s")
+    kept = _first_words(files).where("s <> ''").groupBy("name").agg(F.max_by("s", "file").alias("s"), F.min("file").alias("file"))
+    some = sorted(r["file"] for r in kept.select("file").orderBy(F.xxhash64("file"), "file").limit(SPLITS).collect())  # any names part the files into runs
+    run = F.size(F.filter(F.array(*map(F.lit, some)).cast("array<string>"), lambda x: x <= F.col("file")))
+    return _numbered(kept.withColumn("_run", run), "_run", "file", "pos").select("pos", "name", "s")
 
 
 def read_molecules(spark: SparkSession, path: str, **options) -> DataFrame:

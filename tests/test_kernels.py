@@ -140,3 +140,65 @@ def test_frozen_tfidf_model(spark):
     fresh = N.tfidf(t, t, make, corpus=t.select("s")).collect()
     frozen = N.tfidf(t, t, make, model=N.tfidf_model(t.select("s"), make)).collect()
     assert sorted((r["l_name"], r["t_name"], round(r["score"], 9)) for r in fresh) == sorted((r["l_name"], r["t_name"], round(r["score"], 9)) for r in frozen)
+
+
+def test_merges_by_brute_force():
+    """A pass for each merge, in rank order."""
+    import random
+
+    from quillmol.operators import bpe
+
+    def plain(tokens, merges):
+        for a, b in merges:
+            out, i = [], 0
+            while i < len(tokens):
+                hit = tokens[i : i + 2] == [a, b]
+                out.append(a + b if hit else tokens[i])
+                i += 1 + hit
+            tokens = out
+        return tokens
+
+    rng = random.Random(4)
+    for _ in range(400):
+        alphabet, merges = ["a", "b", "c"], []
+        for _ in range(rng.randint(0, 8)):
+            pair = (rng.choice(alphabet), rng.choice(alphabet))
+            if pair not in merges:
+                merges.append(pair)
+                alphabet.append("".join(pair))
+        tokens = [rng.choice("abc") for _ in range(rng.randint(0, 30))]
+        assert bpe.merge_all(list(tokens), {m: i for i, m in enumerate(merges)}) == plain(tokens, merges)
+
+
+def test_mismatch_by_neighbours(spark):
+    """The closed form against neighbours made one by one, for m from 0 to 3."""
+    import itertools
+    import random
+    from collections import Counter
+
+    from quillmol.operators import token_kernels as N
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcd"[: rng.choice([1, 2, 4])]) for _ in range(rng.choice([2, 4, 6, 12]))) for _ in range(10)]
+    side = spark.createDataFrame([(f"n{i}", s) for i, s in enumerate(texts)], "name string, s string")
+    for k, m, alphabet in ((3, 0, None), (3, 1, None), (4, 2, None), (3, 3, None), (3, 1, "ab"), (3, 2, "bcx")):
+        got = {(r["l_name"], r["t_name"]): r["score"] for r in N.mismatch(side, side.limit(4), k, m, pre=False, alphabet=alphabet).collect()}
+        for (i, a), (j, b) in itertools.product(enumerate(texts), enumerate(texts[:4])):
+            letters = alphabet or "".join(set(a + b))
+
+            def spread(s, letters=letters):
+                own = Counter()
+                for p in range(len(s) - k + 1):
+                    near = {s[p : p + k]}
+                    for _ in range(m if len(letters) > 1 else 0):
+                        near |= {w[:q] + c + w[q + 1 :] for w in near for q in range(k) for c in letters}
+                    own.update(near)
+                return own
+
+            if min(len(a), len(b)) < k:
+                want = float(a == b) if max(len(a), len(b)) < k else 0.0
+            else:
+                x, y = spread(a), spread(b)
+                dot, p, q = (sum(u[w] * v[w] for w in u) for u, v in ((x, y), (x, x), (y, y)))
+                want = dot / (p + q - dot)
+            assert abs(got[f"n{i}", f"n{j}"] - want) < 1e-9, (k, m, alphabet, a, b)
