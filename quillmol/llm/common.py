@@ -47,13 +47,17 @@ def stash(df: DataFrame) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Deletes stashed tables that nothing reads any more. Shuffle files of finished steps go when the driver collects its
-    garbage, so that is asked for too."""
+    """Deletes stashed tables that nothing reads any more."""
     for df in frames:
         _delete(df.sparkSession, df._stashed_at)
         _written[:] = [x for x in _written if x[1] != df._stashed_at]
     if frames:
-        frames[0].sparkSession.sparkContext._jvm.System.gc()
+        free_shuffles(frames[0].sparkSession)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of finished steps stay on the executors' disks until the driver collects its garbage: this asks for it."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def held() -> set[str]:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmol.llm import textops as X
-from quillmol.llm.common import discard, stash
+from quillmol.llm.common import discard, free_shuffles, stash
 from quillmol.llm.components import components
 
 #: Frequent tokens are indexed in combinations of K.
@@ -177,20 +177,20 @@ def _keys(rows: DataFrame) -> DataFrame:
     return rare.unionByName(combined)
 
 
-def _across(rows: DataFrame, bits: DataFrame, hot: list[int]) -> DataFrame:
-    """Candidate pairs (a, b) of different components. bits: node and its parity bits."""
+def _across(rows: DataFrame, bits: DataFrame, hot: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) of different components, and a table to discard after their use. bits: node and its parity bits."""
     key_spans = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi").select("token", (F.col("k") > FREQUENT).alias("frequent"))
     keys = _keys(_with_token(rows, key_spans, hot))
     # a row stays if its key lies in its prefix even for the least partner that the key has
     least = keys.groupBy("key").agg(F.min("n").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").drop("lo", "hi")
     keys = stash(keys.join(least, "key").where(f"9 * (n - last + s * {K - 1}) >= 4 * (n + greatest(least, (4 * n + 4) div 5))").drop("least"))
     split = keys.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi").select("key", F.ceil(F.col("k") / BLOCK).alias("blocks"))
-    keys = keys.join(split, "key").join(bits, "node")
-    ones = keys.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    all_blocks = keys.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met_keys = keys.join(split, "key").join(bits, "node")
+    ones = met_keys.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    all_blocks = met_keys.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = F.expr("x.key = y.key and x.block = y.block and x.comp < y.comp and (x.own_band or y.own_band)") & _can_link("x", "y", f"least(x.s, y.s) * {K - 1}") & _near_enough("x", "y")
     pairs = ones.alias("x").join(all_blocks.alias("y"), met)
-    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), keys
 
 
 def _hot_tokens(rows: DataFrame) -> list[tuple[int, int]]:
@@ -228,8 +228,9 @@ def _open_nodes(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, list]:
     """Step 1: the nodes that may link, and what may be discarded after their use. Tokens that are hot in all rows, copies
     too, count as shared, which leaves no fewer nodes."""
     hot = _hot_tokens(rows.where("n > 1").select(F.explode("tokens").alias("token")))
-    windows = rows.where("n > 1").join(nodes.where("n > 1").withColumnRenamed("doc", "doc_id"), ["doc_id", *SAME]).dropDuplicates(["node"])
+    windows = rows.where("n > 1").select("row", "tokens").join(nodes.where("n > 1").select("row", "node", "n"), "row")
     shared = stash(_shared(windows.select("node", "n", F.explode("tokens").alias("token")), hot).drop("df"))
+    free_shuffles(rows.sparkSession)
     least_k = F.expr(f"greatest(2, ((4 * n + 4) div 5) div {WINDOW})")
     enough = lambda df: df.groupBy("node", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least_k).select("node")
     again = _shared(shared.join(enough(shared), "node", "left_semi"), hot).drop("df")
@@ -257,20 +258,21 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     linked with nothing and its component_id is null. An empty table gives an empty table; other columns aren't read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    windows = stash(set_rows(docs, whole=False))
+    windows = stash(set_rows(docs, whole=False).withColumn("row", F.monotonically_increasing_id()))
     rows = stash(windows.drop("tokens"))
-    classes = rows.where("n > 0 and doc_id is not null").groupBy(*SAME).agg(F.min("doc_id").alias("doc"))
+    classes = rows.where("n > 0 and doc_id is not null").groupBy(*SAME).agg(F.min(F.struct("doc_id", "row")).alias("m")).select(*SAME, F.col("m.doc_id").alias("doc"), "m.row")
     several = classes.groupBy("doc").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc")  # a doc_id that repeats with other texts
     nodes = stash(classes.join(several.withColumn("_s", F.lit(True)), "doc", "left").withColumn("node", F.when(F.col("_s"), F.xxhash64("doc", *SAME)).otherwise(F.col("doc"))).drop("_s"))
 
     open_nodes, used = _open_nodes(windows, nodes)
     discard(windows)
-    held = nodes.join(open_nodes, "node", "left_semi").withColumnRenamed("doc", "doc_id")
+    held = nodes.drop("row").join(open_nodes, "node", "left_semi").withColumnRenamed("doc", "doc_id")
     texts = docs.join(held.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = stash(set_rows(texts, whole=True).join(held, ["doc_id", *SAME]).dropDuplicates(["node"]).select("node", "n", "tokens"))
+    sets = stash(set_rows(texts, whole=True).join(held, ["doc_id", *SAME]).dropDuplicates(["doc_id", *SAME]).select("node", "n", "tokens"))
     discard(open_nodes, *used)
 
     prefixes = stash(_prefixes(sets))
+    free_shuffles(docs.sparkSession)
     centre = F.max(F.struct((-F.col("own") / F.col("n")).alias("w"), (-F.col("node")).alias("d"), "n", "own", "pos", "last"))
     hot = [t for t, _ in _hot_tokens(prefixes)]
     short = prefixes.where("pos <= n - (4 * n + 4) div 5")  # two linked sets share a token here
@@ -282,11 +284,15 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     group = components(links)
 
     in_group = stash(prefixes.drop("bits").join(group, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"))
+    bits = stash(prefixes.where("bits is not null").select("node", "bits"))
+    discard(prefixes)
     tried = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stash(_across(in_group, prefixes.where("bits is not null").select("node", "bits"), hot).join(tried, ["a", "b"], "left_anti"))
+    pairs, used_keys = _across(in_group, bits, hot)
+    more = stash(pairs.join(tried, ["a", "b"], "left_anti"))
+    discard(in_group, bits, used_keys)
     known = links.unionByName(_verified(more, sets)).unionByName(_same_ids(rows, nodes))
     final = components(known)
-    discard(prefixes, in_group, candidates, links, group, more, sets)
+    discard(candidates, links, group, more, sets)
 
     labelled = nodes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("doc").alias("component_id"))
