@@ -102,6 +102,8 @@ def read_avi(data: bytes) -> tuple[list[bytes], float]:
         raise ValueError("no RIFF AVI file")
     at, movi, index, fps = 12, None, None, float(FPS)
     end = min(len(data), 8 + struct.unpack_from("<I", data, 4)[0])
+    if data[end : end + 4] == b"RIFF":
+        raise ValueError("frames in further RIFF segments")
     while at + 8 <= end:
         kind, size = struct.unpack_from("<4sI", data, at)
         if kind == b"LIST" and data[at + 8 : at + 12] == b"movi":
@@ -122,6 +124,9 @@ def read_avi(data: bytes) -> tuple[list[bytes], float]:
     frames, at = [], movi[0] + 4
     while at + 8 <= movi[1]:
         kind, size = struct.unpack_from("<4sI", data, at)
+        if kind == b"LIST" and data[at + 8 : at + 12] == b"rec ":
+            at += 12  # its chunks come next
+            continue
         if kind in (b"00dc", b"00db"):
             frames.append(data[at + 8 : at + 8 + size])
         at += 8 + size + (size & 1)
@@ -215,7 +220,7 @@ def payload(text: bytes) -> bytes:
 
 
 MEDIA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
-CLIP = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("clip", T.IntegerType()), T.StructField("first_frame", T.LongType()), T.StructField("end_frame", T.LongType()), T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType())])
+CLIP = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("clip", T.IntegerType()), T.StructField("first_frame", T.LongType()), T.StructField("end_frame", T.LongType()), T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType()), T.StructField("error", T.StringType())])
 DIGEST = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType())]
     + [T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType())]
@@ -251,7 +256,9 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def clips(media: DataFrame) -> DataFrame:
-    """Timed clip rows of every AVI file in (doc_id, media); a null file has none."""
+    """Timed clip rows of every AVI file in (doc_id, media), with error null. A null file has none; a file that can't be read, for a cut or lossy
+    frame, say, has one row of nulls that says why, and no other file suffers. A null doc_id stays null; repeated rows are read each; other
+    columns are left out; an empty table gives an empty table."""
 
     def run(batches):
         import pyarrow as pa
@@ -261,13 +268,18 @@ def clips(media: DataFrame) -> DataFrame:
             for d, m in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if (data := m.as_py()) is None:
                     continue
-                frames, fps = read_avi(data)
-                for k, (a, b) in enumerate(shots(decode(frames))):
-                    for c, v in zip(cols, (d, k, a, b, a / fps, b / fps), strict=True):
+                try:
+                    frames, fps = read_avi(data)
+                    rows = [(d, k, a, b, a / fps, b / fps, None) for k, (a, b) in enumerate(shots(decode(frames)))]
+                except (ValueError, IndexError, KeyError, TypeError, struct.error) as e:  # what broken files lead to
+                    rows = [(d, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+                for row in rows:
+                    for c, v in zip(cols, row, strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=CLIP.names)
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=CLIP.names)
 
-    return media.select("doc_id", "media").mapInArrow(run, CLIP)
+    return media.select(F.col("doc_id").cast("long"), F.col("media").cast("binary")).mapInArrow(run, CLIP)
 
 
 def media_digest(docs: DataFrame) -> DataFrame:

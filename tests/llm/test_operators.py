@@ -261,6 +261,21 @@ def test_index_is_optional_and_shots_are_found(spark):
         media.read_avi(b"nothing")
 
 
+def test_broken_media_are_error_rows(spark):
+    """A cut, a lossy, a foreign and a segmented file have an error row each; the good one its clip. Frames in rec lists are found."""
+    good = media.encode([b"\x10" * 576 * 3])[0]
+    lossy = good.replace(b"\xff\xc3", b"\xff\xc0")
+    cut = media.write_avi([media.read_avi(good)[0][0][:60]])
+    frames = b"".join(b"00dc" + len(f).to_bytes(4, "little") + f + b"\0" * (len(f) & 1) for f in media.read_avi(good)[0])
+    rec = b"movi" + b"LIST" + (4 + len(frames)).to_bytes(4, "little") + b"rec " + frames
+    body = b"AVI " + b"LIST" + len(rec).to_bytes(4, "little") + rec
+    listed = b"RIFF" + len(body).to_bytes(4, "little") + body
+    files = [(1, good), (2, lossy), (3, cut), (4, b"text"), (5, good + b"RIFF\x04\0\0\0AVIX"), (6, None), (7, listed), (None, good)]
+    rows = media.clips(spark.createDataFrame([(d, None if m is None else bytearray(m), 1) for d, m in files], "doc_id long, media binary, clip int")).collect()
+    assert {r["doc_id"]: r["error"] is None for r in rows} == {1: True, 2: False, 3: False, 4: False, 5: False, 7: True, None: True}
+    assert all(r["clip"] is None for r in rows if r["error"]) and [r["end_frame"] for r in rows if not r["error"]] == [3, 3, 3]
+
+
 # --- pages ---
 
 
