@@ -3,8 +3,8 @@
 Payload bytes are the 8-bit samples of grey 24 x 24 frames in JPEG's lossless process (ITU-T T.81, process 14, predictor
 1). The writer's Huffman table gives category c a code of 9 - c bits, so every difference takes 9 bits in all and a
 frame's scan, before byte stuffing, 648 bytes; that lets numpy read and write many frames at once. The reader takes any RIFF/AVI
-file with an idx1 index (or walks the chunks without one) and any single-component lossless frame of 8 bits with
-predictor 1; frames with other tables are decoded code by code.
+file with an idx1 index (or walks the chunks without one), its further segments too, any single-component lossless frame of 8 bits with
+predictor 1, and the brightness of baseline frames, as cameras write them; such frames are decoded code by code.
 """
 
 from __future__ import annotations
@@ -96,84 +96,232 @@ def write_avi(frames: list[bytes], side: int = SIDE, fps: int = FPS) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def read_avi(data: bytes) -> tuple[list[bytes], float]:
-    """The frames that the index names, and frames a second; without an index, the movi list's chunks."""
-    if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
-        raise ValueError("no RIFF AVI file")
-    at, movi, index, fps = 12, None, None, float(FPS)
-    end = min(len(data), 8 + struct.unpack_from("<I", data, 4)[0])
-    if data[end : end + 4] == b"RIFF":
-        raise ValueError("frames in further RIFF segments")
+def _chunks(data: bytes, at: int, end: int):
+    """(kind, list type, where the body is, where it ends) of the chunks from at to end."""
     while at + 8 <= end:
         kind, size = struct.unpack_from("<4sI", data, at)
-        if kind == b"LIST" and data[at + 8 : at + 12] == b"movi":
-            movi = (at + 8, at + 8 + size)
-        elif kind == b"LIST" and data[at + 8 : at + 12] == b"hdrl":
-            us = struct.unpack_from("<I", data, at + 20)[0]
-            fps = 1e6 / us if us else fps
-        elif kind == b"idx1":
-            index = data[at + 8 : at + 8 + size]
+        yield kind, data[at + 8 : at + 12] if kind == b"LIST" else b"", at + 8, at + 8 + size
         at += 8 + size + (size & 1)
-    if movi is None:
-        raise ValueError("no movi list")
-    if index is not None:
-        rows = np.frombuffer(index, np.dtype([("id", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")]))
-        rows = rows[np.isin(rows["id"], [b"00dc", b"00db"])]
-        shift = 0 if len(rows) and rows["at"][0] >= movi[0] + 4 else movi[0]  # some files count from their start
-        return [data[a : a + s] for a, s in zip((rows["at"].astype(np.int64) + shift + 8).tolist(), rows["size"].tolist(), strict=True)], fps
-    frames, at = [], movi[0] + 4
-    while at + 8 <= movi[1]:
-        kind, size = struct.unpack_from("<4sI", data, at)
-        if kind == b"LIST" and data[at + 8 : at + 12] == b"rec ":
-            at += 12  # its chunks come next
-            continue
-        if kind in (b"00dc", b"00db"):
-            frames.append(data[at + 8 : at + 8 + size])
+
+
+def _walk(data: bytes, at: int, end: int) -> list[bytes]:
+    """The frames of a movi list, those of its rec lists too, in order."""
+    frames = []
+    for kind, form, a, b in _chunks(data, at, end):
+        if form == b"rec ":
+            frames += _walk(data, a + 4, b)
+        elif kind in (b"00dc", b"00db"):
+            frames.append(data[a:b])
+    return frames
+
+
+def read_avi(data: bytes) -> tuple[list[bytes], float]:
+    """The frames that the index names, and frames a second; without an index, as in the further segments (AVIX) of a long file, the movi
+    list's chunks."""
+    if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
+        raise ValueError("no RIFF AVI file")
+    frames, fps, at = [], float(FPS), 0
+    while data[at : at + 4] == b"RIFF" and data[at + 8 : at + 12] in (b"AVI ", b"AVIX"):
+        size = struct.unpack_from("<I", data, at + 4)[0]
+        movi, index = None, None
+        for kind, form, a, b in _chunks(data, at + 12, min(len(data), at + 8 + size)):
+            if form == b"movi":
+                movi = (a, b)
+            elif form == b"hdrl":
+                us = struct.unpack_from("<I", data, a + 12)[0]
+                fps = 1e6 / us if us else fps
+            elif kind == b"idx1":
+                index = data[a:b]
+        if movi is None:
+            raise ValueError("no movi list")
+        if index is None:
+            frames += _walk(data, movi[0] + 4, movi[1])
+        else:
+            rows = np.frombuffer(index, np.dtype([("id", "S4"), ("flags", "<u4"), ("at", "<u4"), ("size", "<u4")]))
+            rows = rows[np.isin(rows["id"], [b"00dc", b"00db"])]
+            shift = 0 if len(rows) and rows["at"][0] >= movi[0] + 4 else movi[0]  # some files count from their start
+            frames += [data[a : a + s] for a, s in zip((rows["at"].astype(np.int64) + shift + 8).tolist(), rows["size"].tolist(), strict=True)]
         at += 8 + size + (size & 1)
     return frames, fps
 
 
-def _slow_frame(data: bytes) -> np.ndarray:
-    """One lossless frame with any Huffman table."""
-    at, codes, side = 2, {}, None
+# Fixed values of ITU-T T.81, annex K: Huffman tables of frames without their own, as (codes of each length 1 .. 16, symbols). Of the
+# AC tables only the symbols of codes under 16 bits are listed; the rest follow in ascending order.
+STANDARD = {
+    0x00: ("00010501010101010100000000000000", "000102030405060708090a0b"),
+    0x01: ("00030101010101010101010000000000", "000102030405060708090a0b"),
+    0x10: ("0002010303020403050504040000017d", "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282"),
+    0x11: ("00020102040403040705040400010277", "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f1"),
+}
+ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
+
+
+def _standard() -> dict[int, tuple[bytes, bytes]]:
+    every = [0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))]
+    out = {}
+    for k, (counts, listed) in STANDARD.items():
+        first = bytes.fromhex(listed)
+        out[k] = (bytes.fromhex(counts), first + bytes(sorted(set(every) - set(first))) if k >> 4 else first)
+    return out
+
+
+def _lookup(counts: bytes, symbols: bytes) -> list[int]:
+    """For each 16 bits, 256 times the length plus the symbol of the code that they begin with; 0 if none."""
+    out, at, k = np.zeros(1 << 16, np.int64), 0, 0
+    for n, many in enumerate(counts, 1):
+        for s in symbols[k : k + many]:
+            out[at : at + (1 << (16 - n))] = n << 8 | s
+            at += 1 << (16 - n)
+        k += many
+    if at > 1 << 16 or k > len(symbols):
+        raise ValueError("no Huffman table")
+    return out.tolist()
+
+
+class Bits:
+    """Codes and numbers of an entropy-coded segment."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.at, self.end = raw + b"\0" * 4, 0, 8 * len(raw)
+
+    def _take(self, n: int) -> None:
+        self.at += n
+        if self.at > self.end:
+            raise ValueError("a cut frame")
+
+    def code(self, table: list[int]) -> int:
+        i = self.at >> 3
+        found = table[int.from_bytes(self.raw[i : i + 3], "big") >> (8 - (self.at & 7)) & 0xFFFF]
+        if not found:
+            raise ValueError("no such code")
+        self._take(found >> 8)
+        return found & 255
+
+    def number(self, n: int) -> int:
+        """n bits as the standard's signed number of category n."""
+        if n > 15:
+            raise ValueError("no such category")
+        i = self.at >> 3
+        v = int.from_bytes(self.raw[i : i + 4], "big") >> (32 - (self.at & 7) - n) & ((1 << n) - 1)
+        self._take(n)
+        return v if n == 0 or v >> (n - 1) else v - (1 << n) + 1
+
+
+def _scan(data: bytes, at: int) -> list[bytes]:
+    """The one scan from at to the end mark, cut at restart marks, without stuffing."""
+    out, begin = [], at
+    while True:
+        at = data.find(b"\xff", at)
+        if at < 0 or at + 1 == len(data):
+            raise ValueError("a cut frame")
+        mark = data[at + 1]
+        if mark == 0xFF:  # a fill byte
+            at += 1
+        elif mark == 0:
+            at += 2
+        else:
+            out.append(data[begin:at].replace(b"\xff\x00", b"\xff"))
+            begin = at = at + 2
+            if not 0xD0 <= mark <= 0xD7:
+                break
+    if mark != 0xD9 or b"\xff\xd8" in data[at:]:
+        raise ValueError("several scans or fields")
+    return out
+
+
+def _slow_frame(data: bytes, known: dict | None = None) -> np.ndarray:
+    """The samples of a grey lossless frame with any Huffman table, or the first component, which is the brightness, of a baseline or
+    extended one; known keeps lookup tables from frame to frame."""
+    known = {} if known is None else known
+    at, tables, quants, kind, restart = 2, {}, {}, None, 0
     while True:
         mark, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
         body = data[at + 4 : at + 2 + size]
-        if mark == 0xC4:
-            code, k = 0, 17
-            for n in range(1, 17):
-                for _ in range(body[n]):
-                    codes[(n, code)] = body[k]
-                    code, k = code + 1, k + 1
-                code <<= 1
-        elif mark == 0xC3:
-            if body[0] != 8 or body[5] != 1:
-                raise ValueError("only grey frames of 8 bits")
-            side = struct.unpack_from(">HH", body, 1)
-        elif mark in (0xC0, 0xC1, 0xC2):
-            raise ValueError("a lossy frame")
+        if data[at] != 0xFF or len(body) != size - 2:
+            raise ValueError("a cut frame")
         at += 2 + size
-        if mark == 0xDA:
-            if body[3] != 1:
-                raise ValueError("only predictor 1")
+        if mark == 0xC4:
+            while body:
+                n = sum(body[1:17])
+                tables[body[0]] = (body[1:17], body[17 : 17 + n])
+                body = body[17 + n :]
+        elif mark == 0xDB:
+            while body:
+                wide = body[0] >> 4
+                quants[body[0] & 15] = np.frombuffer(body, ">u2" if wide else np.uint8, 64, 1).astype(np.int64)
+                body = body[129 if wide else 65 :]
+        elif mark == 0xDD:
+            restart = struct.unpack(">H", body)[0]
+        elif 0xC0 <= mark <= 0xCF and mark != 0xC8 and mark != 0xCC:
+            kind, frame = mark, body
+        elif mark == 0xDA:
             break
-    scan = data[at : data.rfind(b"\xff\xd9")].replace(b"\xff\x00", b"\xff")
-    bits, p = np.unpackbits(np.frombuffer(scan, np.uint8)).tolist(), 0
+    if kind not in (0xC0, 0xC1, 0xC3):
+        raise ValueError("a progressive or arithmetic frame")
+    n = frame[5]
+    if frame[0] != 8 or body[0] != n:
+        raise ValueError("several scans, or samples of other than 8 bits")
+
+    def table(k: int) -> list[int]:
+        pair = (tables or _standard())[k]
+        if pair not in known:
+            known[pair] = _lookup(*pair)
+        return known[pair]
+
+    segments = _scan(data, at)
+    if kind == 0xC3:
+        if n != 1 or len(segments) != 1 or body[3] != 1:
+            raise ValueError("only grey lossless frames with predictor 1, without restarts")
+        return _lossless(Bits(segments[0]), struct.unpack_from(">HH", frame, 1), table(body[2] >> 4))
+    parts = [(frame[7 + 3 * i] >> 4, frame[7 + 3 * i] & 15, table(body[2 + 2 * i] >> 4), table(0x10 | body[2 + 2 * i] & 15)) for i in range(n)]
+    return _baseline(segments, struct.unpack_from(">HH", frame, 1), parts, quants[frame[8]], restart)
+
+
+def _lossless(bits: Bits, side: tuple[int, int], table: list[int]) -> np.ndarray:
     out = np.zeros(side, np.int64)
     for y in range(side[0]):
         for x in range(side[1]):
-            n = code = 0
-            while (n, code) not in codes or n == 0:
-                code, n, p = code << 1 | bits[p], n + 1, p + 1
-            c, v = codes[(n, code)], 0
-            for b in bits[p : p + c]:
-                v = v << 1 | b
-            p += c
-            d = v if c == 0 or v >> (c - 1) else v - (1 << c) + 1
-            out[y, x] = d + (out[y, x - 1] if x else out[y - 1, 0] if y else 128)
+            out[y, x] = bits.number(bits.code(table)) + (out[y, x - 1] if x else out[y - 1, 0] if y else 128)
     return (out & 255).astype(np.uint8)
 
 
+def _baseline(segments: list[bytes], side: tuple[int, int], parts: list[tuple], quant: np.ndarray, restart: int) -> np.ndarray:
+    """The first of the components (h, v, DC table, AC table). All are read, as their codes are interleaved."""
+    if len(parts) == 1:
+        parts = [(1, 1, *parts[0][2:])]
+    if not all(h and v for h, v, *_ in parts):
+        raise ValueError("no sampling factors")
+    h_most, v_most, (h0, v0, *_) = max(p[0] for p in parts), max(p[1] for p in parts), parts[0]
+    across, down = -(-side[1] // (8 * h_most)), -(-side[0] // (8 * v_most))
+    every = restart or max(1, across * down)
+    if len(segments) != max(1, -(-across * down // every)):
+        raise ValueError("a cut frame")
+    found = np.zeros((down * v0, across * h0, 64))
+    for k in range(across * down):
+        if k % every == 0:
+            bits, before = Bits(segments[k // every]), [0] * len(parts)
+        for i, (h, v, dc, ac) in enumerate(parts):
+            for b in range(h * v):
+                before[i] += bits.number(bits.code(dc))
+                block, j = [0] * 64, 1
+                block[0] = before[i]
+                while j < 64 and (symbol := bits.code(ac)):
+                    j += symbol >> 4
+                    if j > 63 or not symbol & 15 and symbol != 0xF0:
+                        raise ValueError("no such coefficient")
+                    block[ZIGZAG[j]] = bits.number(symbol & 15)
+                    j += 1
+                if i == 0:
+                    found[k // across * v + b // h, k % across * h + b % h] = block
+    steps = np.zeros(64)
+    steps[ZIGZAG] = quant
+    u = np.arange(8)[:, None]
+    basis = np.where(u == 0, np.sqrt(0.125), 0.5) * np.cos((2 * np.arange(8) + 1) * u * np.pi / 16)
+    planes = basis.T @ (found * steps).reshape(*found.shape[:2], 8, 8) @ basis
+    samples = np.clip(np.floor(planes + 128.5), 0, 255).astype(np.uint8).transpose(0, 2, 1, 3).reshape(8 * down * v0, 8 * across * h0)
+    return samples[: -(-side[0] * v0 // v_most), : -(-side[1] * h0 // h_most)]
+
+
 def decode(frames: list[bytes]) -> np.ndarray:
     """The samples of equal-sized frames, a row each."""
     if not frames:
@@ -182,7 +330,8 @@ def decode(frames: list[bytes]) -> np.ndarray:
     if all(f.startswith(head) for f in frames):
         raw = b"".join([f[len(head) : -2].replace(b"\xff\x00", b"\xff") for f in frames])
         return unscan(np.frombuffer(raw, np.uint8))
-    return np.stack([_slow_frame(f).ravel() for f in frames])
+    known: dict = {}
+    return np.stack([_slow_frame(f, known).ravel() for f in frames])
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:
@@ -256,7 +405,7 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def clips(media: DataFrame) -> DataFrame:
-    """Timed clip rows of every AVI file in (doc_id, media), with error null. A null file has none; a file that can't be read, for a cut or lossy
+    """Timed clip rows of every AVI file in (doc_id, media), with error null. A null file has none; a file that can't be read, for a cut or progressive
     frame, say, has one row of nulls that says why, and no other file suffers. A null doc_id stays null; repeated rows are read each; other
     columns are left out; an empty table gives an empty table."""
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import struct
 import time
 import tracemalloc
 import unicodedata
@@ -276,6 +277,79 @@ def test_broken_media_are_error_rows(spark):
     assert all(r["clip"] is None for r in rows if r["error"]) and [r["end_frame"] for r in rows if not r["error"]] == [3, 3, 3]
 
 
+def by_java(spark, samples, colour):
+    """A baseline JPEG of the samples (height, width, 3), grey or in colour, and its first component as the JVM's own reader decodes it."""
+    jvm = spark.sparkContext._jvm
+    height, width = samples.shape[:2]
+    kinds = jvm.java.awt.image.BufferedImage
+    image = kinds(width, height, kinds.TYPE_INT_RGB if colour else kinds.TYPE_BYTE_GRAY)
+    for y in range(height):
+        for x in range(width):
+            if colour:
+                r, g, b = map(int, samples[y, x])
+                image.setRGB(x, y, r << 16 | g << 8 | b)
+            else:
+                image.getRaster().setSample(x, y, 0, int(samples[y, x, 0]))
+    out = jvm.java.io.ByteArrayOutputStream()
+    jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    data = bytes(out.toByteArray())
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(data)))
+    if not colour:
+        return data, np.array([[back.getRaster().getSample(x, y, 0) for x in range(width)] for y in range(height)], float)
+    rgb = np.array([[back.getRGB(x, y) & 0xFFFFFF for x in range(width)] for y in range(height)])
+    return data, 0.299 * (rgb >> 16) + 0.587 * (rgb >> 8 & 255) + 0.114 * (rgb & 255)
+
+
+def some_image(height, width, shift=0):
+    y, x = np.mgrid[:height, :width]
+    return np.stack([110 + 60 * np.sin(x / 5 + shift) + 20 * np.cos(y / 3), 120 + 40 * np.cos((x + y) / 7), 100 + 50 * np.sin(y / 6)], -1).astype(int)
+
+
+@pytest.mark.parametrize("colour", [False, True])
+def test_baseline_frames_as_another_reader_decodes_them(spark, colour):
+    for height, width in ((24, 24), (27, 45), (8, 100), (1, 1)):
+        data, want = by_java(spark, some_image(height, width), colour)
+        got = media._slow_frame(data)
+        assert got.shape == want.shape and np.abs(got - want).max() <= (6 if colour else 1), (height, width)
+        tables = data.index(b"\xff\xc4")
+        n = 2 + int.from_bytes(data[tables + 2 : tables + 4], "big")
+        if data[tables + n : tables + n + 2] == b"\xff\xda":  # all tables in one segment, which are the standard's
+            assert np.array_equal(media._slow_frame(data[:tables] + data[tables + n :]), got)
+        for k in range(2, len(data) - 2, 7):  # a cut frame is an error, never other samples
+            with pytest.raises((ValueError, IndexError, KeyError, struct.error)):
+                media._slow_frame(data[:k])
+        with pytest.raises(ValueError):
+            media._slow_frame(data + data)  # two fields
+
+
+def test_restarts_in_baseline_frames():
+    """Blocks of one level each, with a restart after each one, by hand: DC categories by the standard's table, AC ends at once."""
+    levels = [80, -80, 0, 3]
+    head = b"\xff\xd8" + b"\xff\xdb\x00\x43\x00" + b"\x08" * 64 + b"\xff\xc0\x00\x0b\x08\x00\x08\x00\x20\x01\x01\x11\x00"
+    codes = {0: "00", 2: "011", 7: "11110"}
+    parts = []
+    for v in levels:
+        n = abs(v).bit_length()
+        bits = codes[n] + (f"{v if v > 0 else v + (1 << n) - 1:0{n}b}" if n else "") + "1010"
+        bits += "1" * (-len(bits) % 8)
+        parts.append(int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00"))
+    scan = b"".join(p + (bytes([0xFF, 0xD0 + i]) if i < 3 else b"") for i, p in enumerate(parts))
+    frame = head + b"\xff\xdd\x00\x04\x00\x01" + b"\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00" + scan + b"\xff\xd9"
+    got = media._slow_frame(frame)
+    assert got.shape == (8, 32) and [set(got[:, 8 * i : 8 * i + 8].ravel().tolist()) for i in range(4)] == [{128 + v} for v in levels]
+
+
+def test_clips_of_baseline_frames_and_segments(spark):
+    """A camera's file: baseline frames, and a further segment without an index."""
+    first, second = (by_java(spark, np.full((16, 32, 3), v), True)[0] for v in (30, 220))
+    file = media.write_avi([first] * 20, 16)
+    more = b"movi" + b"".join(b"00dc" + struct.pack("<I", len(second)) + second + b"\0" * (len(second) & 1) for _ in range(10))
+    body = b"AVIX" + b"LIST" + struct.pack("<I", len(more)) + more
+    file += b"RIFF" + struct.pack("<I", len(body)) + body
+    rows = media.clips(spark.createDataFrame([(1, bytearray(file))], "doc_id long, media binary")).collect()
+    assert [(r["first_frame"], r["end_frame"], r["error"]) for r in rows] == [(0, 20, None), (20, 30, None)]
+
+
 # --- pages ---
 
 
