@@ -43,7 +43,7 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def pieces(column, limit: int = 4 << 20):
+def pieces(column, limit: int = 1 << 20):
     """(first row, end row, bytes, offsets) of runs of rows of about limit bytes, so that arrays stay small."""
     raw, offs = utf8(column)
     i = 0
